@@ -26,7 +26,7 @@ from siltstone.scratch import ready_workers
 
 BITS, DIM, CHAR_BYTES = 17, 16, 4
 TRAIN_ROWS, EPOCHS, RATE, SEED = 4000, 5, 0.2, 5
-FOLDS, CUT = 5, 0.3
+FOLDS, CUT, SAME = 5, 0.3, 0
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -34,11 +34,16 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def features(s: bs.Scan, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row and bucket of each word, each pair of words and each run of bytes."""
+    """Row and bucket of each word, each pair of words and each run of bytes.
+
+    The second word of a pair is written as a back reference if it repeats the first, so all such pairs share ``SAME``.
+    """
     shift = bs.U(64 - bits)
     yield s.doc, (s.hash >> shift).astype(np.int64)
     first, h = s.windows(2)
-    yield s.doc[first], (h >> shift).astype(np.int64)
+    pair = (h >> shift).astype(np.int64)
+    pair[s.hash[first] == s.hash[first + 1]] = SAME
+    yield s.doc[first], pair
     n = len(s.data) - CHAR_BYTES + 1
     if n > 0:
         wide = s.data.astype(np.uint32)
