@@ -12,9 +12,10 @@ minima over sum of maxima, is at least 0.8; classes are the components of the li
 3. Texts of equal words share a digest; one stands for all of them from here on.
 4. The others get ICWS signatures (``BANDS`` bands of ``ROWS`` samples). Unshared shingles are left out of the sampling,
    which can only raise the chance that partners meet; similarity is computed with the whole weights.
-5. Members of a band are compared with its first member, linked, and joined to components. Where a band still holds
-   two components, a second leader is tried; then all pairs of different components in such bands are verified. So every
-   candidate pair is either verified or already in one class, without pairs inside groups of copies.
+5. Members of a band are compared with its first member, linked, and joined to components. Bands that still hold two
+   components are searched whole: their texts are dealt to blocks of ``BLOCK_BYTES``, each pair of blocks computes all its
+   similarities as one product of matrices and sends a spanning forest of the links it finds. So every candidate
+   pair is either verified or already in one class, and no pairs are emitted but links that join texts.
 
 Nothing but counts reaches the driver.
 
@@ -44,6 +45,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 SLICE = 1 << 23
 BROADCAST_ROWS = 2_000_000
+BLOCK_BYTES = 1 << 22
 U = bs.U
 ENTRY = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("row", "<u2")])
 SHARED = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("row", "<u2"), ("df", "<u2"), ("tf", "<u4")])
@@ -263,6 +265,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, log_n: float, similarity: floa
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb", "ta", "tb").mapInArrow(verify, "a long, b long, similarity double")
 
 
+def similarities(weights_of: np.ndarray, parts: list[np.ndarray], log_n: float, columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of texts, exactly.
+
+    A term found t times becomes features for each count up to t that occurs here, weighted by what that count adds, so
+    a sum of minima is the sum over common features: a product of matrices.
+    """
+    e = np.concatenate(parts)
+    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    h = e["lo"].astype(U) | e["hi"].astype(U) << U(32)
+    levels = np.unique(e["tf"])
+    features = []
+    for k, level in enumerate(levels):
+        has = e["tf"] >= level
+        tf = np.full(int(has.sum()), float(level))
+        w = weights(e["df"][has], tf, log_n)
+        if k:
+            w = w - weights(e["df"][has], tf * 0 + float(levels[k - 1]), log_n)
+        features.append((row[has], bs.mix(h[has] + U(k)), w))
+    row, h, w = (np.concatenate([f[i] for f in features]) for i in range(3))
+    _, column, n = np.unique(h, return_inverse=True, return_counts=True)
+    shared = n > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column, w = row[keep], number[column[keep]], np.sqrt(w[keep])
+    least = np.zeros((len(parts), len(parts)))
+    order = np.argsort(column, kind="stable")
+    row, column, w = row[order], column[order], w[order]
+    for first in range(0, int(shared.sum()), columns):
+        i, j = np.searchsorted(column, [first, first + columns])
+        x = np.zeros((len(parts), columns))
+        x[row[i:j], column[i:j] - first] = w[i:j]
+        least += x @ x.T
+    return least / np.maximum(weights_of[:, None] + weights_of[None, :] - least, 1e-12)
+
+
+def _search(log_n: float, similarity: float):
+    """Of the texts of a pair of blocks of a band: a spanning forest of their links."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid, weight, parts = [], [], []
+        for batch in batches:
+            uid += batch.column("uid").to_pylist()
+            weight += batch.column("weight").to_pylist()
+            parts += [np.frombuffer(t.as_py(), TERM) for t in batch.column("terms")]
+        link = similarities(np.array(weight), parts, log_n) >= similarity - 1e-9
+        label = np.arange(len(uid))
+        while True:
+            new = np.where(link, label[None, :], len(uid)).min(axis=1)
+            new = np.minimum(label, new)
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        at = np.flatnonzero(label != np.arange(len(uid)))
+        ids = np.array(uid, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[label[at]]), pa.array(ids[at])], ["a", "b"])
+
+    return search
+
+
 def _free_shuffles(spark: SparkSession) -> None:
     """Shuffle files of finished steps go when the driver collects its garbage; those of the first steps are large."""
     gc.collect()
@@ -282,35 +344,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     del sent, counted
     _free_shuffles(spark)
 
-    rows = gathered.select("uid", "doc_id", "text_hash", "d0", "d1")
-    stands = gathered.where("terms is not null").groupBy("d0", "d1").agg(F.min("uid").alias("rep"))
-    stands = scratch.save(stands)
+    rows = scratch.save(gathered.select("uid", "doc_id", "text_hash", "d0", "d1"))
+    stands = scratch.save(gathered.where("terms is not null").groupBy("d0", "d1").agg(F.min("uid").alias("rep")))
     texts = scratch.save(gathered.where("terms is not null").join(stands.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "weight", "terms"))
+    scratch.drop(gathered)
+    _free_shuffles(spark)
     members = scratch.save(texts.select("uid", "terms").mapInArrow(_bands(log_n), "band long, uid long").distinct())
 
     lead = members.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     pairs = members.join(lead, "band").where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
-    tried = scratch.save(pairs)
-    edges = scratch.save(_verified(tried, texts, log_n, similarity).select("a", "b"))
-    for second_leader in (True, False):
-        names = components(edges, scratch)
-        named = members.join(names.select(F.col("node").alias("uid"), "root"), "uid", "left").select("band", "uid", F.coalesce("root", "uid").alias("root"))
-        mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("uid", F.struct("root", "uid")).alias("_first"), F.max_by("uid", F.struct("root", F.xxhash64("uid"))).alias("lead")).where("low <> high")
-        inside = named.join(mixed, "band")
-        if second_leader:
-            fresh = inside.where("root <> high").select("lead", "uid")
-        else:
-            inside = scratch.save(inside.select("band", "uid", "root"))
-            fresh = inside.join(inside.select("band", F.col("uid").alias("lead"), F.col("root").alias("other")), "band").where("root < other").select("lead", "uid")
-        fresh = fresh.select(F.least("lead", "uid").alias("a"), F.greatest("lead", "uid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = scratch.save(fresh)
-        if fresh.isEmpty():
-            if second_leader:
-                continue
-            break
-        found = _verified(fresh, texts, log_n, similarity).select("a", "b")
-        edges = scratch.save(edges.unionByName(found))
-        tried = scratch.save(tried.unionByName(fresh))
+    edges = scratch.save(_verified(pairs, texts, log_n, similarity).select("a", "b"))
+    _free_shuffles(spark)
+    names = components(edges, scratch)
+    named = members.join(names.select(F.col("node").alias("uid"), "root"), "uid", "left").select("band", "uid", F.coalesce("root", "uid").alias("root"))
+    sizes = texts.select("uid", F.octet_length("terms").alias("bytes"))
+    mixed = named.join(sizes, "uid").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks")).where("low <> high").select("band", "blocks")
+    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+    dealt = members.join(mixed, "band").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "uid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    search = _search(log_n, similarity)
+    found = dealt.join(texts, "uid").groupBy("band", "i", "j").applyInArrow(search, "a long, b long")
+    edges = scratch.save(edges.unionByName(found).distinct())
     names = components(edges, scratch)
 
     roots = stands.join(names.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d0", "d1", F.coalesce("root", "rep").alias("root"))
