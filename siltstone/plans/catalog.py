@@ -1,6 +1,11 @@
-"""All queries of the library with their SQL."""
+"""All queries of the library over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from siltstone.plans import entities, graph, ingest, models, vectors
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (entities, graph, ingest, models, vectors):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
