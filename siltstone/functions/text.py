@@ -52,10 +52,12 @@ def tokens(x: Column) -> Column:
 
 
 def ngrams(toks: Column, most: int = 3) -> Column:
-    """All runs of 1 to ``most`` tokens, by length, then place."""
-    sizes = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: n <= F.size(toks))
-    runs = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.size(toks) - n), lambda i: F.array_join(F.slice(toks, i + 1, n), " ")))
-    return F.flatten(runs)
+    """All runs of 1 to ``most`` tokens, by length, then place. ``toks`` should be a column, as it is read several times."""
+    runs = [toks]
+    for k in range(1, most):
+        rest = F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0)))
+        runs.append(F.filter(F.zip_with(runs[-1], rest, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull()))
+    return F.concat(*runs)
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -25,14 +25,14 @@ def item_entities(t: Tables):
 @query(f"WITH {GRAMS}, {ITEMS} SELECT doc_id, count(*) AS n_resolved, count(DISTINCT entity_id) AS n_entities FROM grams JOIN alias ON lower(g) = alias GROUP BY doc_id")
 def resolve_exact_mentions(t: Tables):
     """Mentions of each document that are aliases. Aliases are a dimension; Spark broadcasts them if they are small."""
-    mentions = t.documents.select("doc_id", F.explode(T.ngrams(T.tokens(F.col("text")))).alias("mention"))
+    mentions = t.documents.select("doc_id", T.tokens(F.col("text")).alias("toks")).select("doc_id", F.explode(T.ngrams(F.col("toks"))).alias("mention"))
     found = resolve.exact_lookup(mentions, resolve.alias_table(item_entities(t))).where("entity_id is not null")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_resolved"), F.countDistinct("entity_id").alias("n_entities"))
 
 
 @query(f"WITH {GRAMS} SELECT g AS gram, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM grams GROUP BY g HAVING count(*) >= 50")
 def candidate_ngrams(t: Tables):
-    grams = t.documents.select("doc_id", F.explode(T.ngrams(T.tokens(F.col("text")))).alias("gram"))
+    grams = t.documents.select("doc_id", T.tokens(F.col("text")).alias("toks")).select("doc_id", F.explode(T.ngrams(F.col("toks"))).alias("gram"))
     per = grams.groupBy("gram", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs")).where("n >= 50")
 
