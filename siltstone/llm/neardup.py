@@ -43,7 +43,7 @@ from siltstone.scratch import Scratch
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
-SLICE = 1 << 23
+SLICE = 1 << 21
 BROADCAST_ROWS = 2_000_000
 BLOCK_BYTES = 1 << 22
 U = bs.U

@@ -33,7 +33,7 @@ from siltstone.scratch import Scratch
 
 CAPACITY, END_ID = 1024, 2
 #: Distinct words that a Python worker remembers; beyond, the memory starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
