@@ -27,13 +27,14 @@ def micro_batches(requests: DataFrame, size: int = 32, wait_ms: int = 50) -> Dat
     return requests.groupBy("worker").applyInPandas(fold, "worker long, id long, batch int")
 
 
-def predict(rows: DataFrame, scorer: Callable[[], Callable[[np.ndarray], np.ndarray]], features: str, names: list[str], batch: int = 1024) -> DataFrame:
-    """Adds probabilities, predicted class and its name. ``scorer`` makes a function from features to logits in each worker."""
+def predict(rows: DataFrame, scorer: Callable[[], Callable[[np.ndarray], np.ndarray]], features: str, dim: int, names: list[str], batch: int = 1024) -> DataFrame:
+    """Adds probabilities, predicted class and its name. ``scorer`` makes a function from features (arrays of ``dim`` numbers) to logits in each worker."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, DoubleType
 
-    udf = predict_batch_udf(scorer, return_type=ArrayType(DoubleType()), batch_size=batch)
-    out = rows.withColumn("probs", V.softmax(udf(F.col(features))))
+    udf = predict_batch_udf(scorer, return_type=ArrayType(DoubleType()), batch_size=batch, input_tensor_shapes=[[dim]])
+    out = rows.withColumn("logits", udf(F.col(features)))
+    out = out.withColumn("probs", V.softmax(F.col("logits"))).drop("logits")
     return out.withColumn("class_index", V.argmax(F.col("probs"))).withColumn("class_name", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("class_index") + 1)).withColumn("probabilities", F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.col("probs")))
 
 

@@ -98,7 +98,7 @@ def phash_dedup(t: Tables):
     return review.phash_dedup(_hashes(t), 12)
 
 
-@query("SELECT event_type AS domain, count(*) FILTER (value < 50) AS satire, count(*) FILTER (value >= 50) AS news, 0 AS other FROM events GROUP BY 1")
+@query("SELECT event_type AS domain, count(*) FILTER (value < 50) AS satire, count(*) FILTER (value >= 50) AS news, 0::BIGINT AS other FROM events GROUP BY 1")
 def stream_history(t: Tables):
     rows = streams.events(t.spark, f"{t._dir}/events.parquet").select(F.col("event_type").alias("domain"), F.when(F.col("value") < 50, "satire").when(F.col("value") >= 50, "news").alias("label"))
     return streams.drain(streams.history(rows), "complete")
@@ -110,6 +110,6 @@ def stream_dedup(t: Tables):
     return streams.drain(streams.first_seen(rows, ["user_id", "event_type"]), "append").select("user_id", "event_type")
 
 
-@query("SELECT count(*) AS n, sum(length(text)) AS chars FROM (SELECT text, row_number() OVER (ORDER BY doc_id DESC) AS n FROM documents) WHERE n <= 10000")
+@query("SELECT count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT text, row_number() OVER (ORDER BY doc_id DESC) AS n FROM documents) WHERE n <= 10000")
 def rolling_buffer(t: Tables):
     return t.documents.select("doc_id", F.length("text").alias("c")).orderBy(F.desc("doc_id")).limit(10_000).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("chars"))

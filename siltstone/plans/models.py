@@ -128,10 +128,10 @@ def latest_compatible_context(t: Tables):
     return rollout.latest_compatible(m, c)
 
 
-@query("SELECT event_id, round(epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT / 3600.0 - epoch(ts)::BIGINT / 3600.0, 3) AS hours FROM events")
+@query("SELECT event_id, round((floor(epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) - floor(epoch(ts)))::DOUBLE / 3600, 6) AS hours FROM events")
 def state_dwell(t: Tables):
     e = t.events.select("event_id", F.col("user_id").alias("version"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("ts"))
-    return rollout.transitions(e).select("event_id", F.round("hours", 3).alias("hours"))
+    return rollout.transitions(e).select("event_id", F.round("hours", 6).alias("hours"))
 
 
 @query()

@@ -103,7 +103,7 @@ def scored_classes(t: Tables):
     def make():
         return lambda x: x[:, :5]
 
-    return batching.predict(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x")), make, "x", ["satire", "authentic", "news", "mixed", "other"]).select("vec_id", "class_index", "class_name")
+    return batching.predict(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x")), make, "x", 64, ["satire", "authentic", "news", "mixed", "other"]).select("vec_id", "class_index", "class_name")
 
 
 @query()

@@ -9,6 +9,7 @@ from urllib.parse import urlencode
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,18 +64,21 @@ def rss_entries(bodies: DataFrame, most: int = 50) -> DataFrame:
     """Entries of rows (feed, domain, body), the first ``most`` of each feed, with their place."""
     ready_workers(bodies.sparkSession)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(r.feed, r.domain, i, *e) for r in pdf.itertuples() for i, e in enumerate(_entries(r.body or "", most))]
-            yield pd.DataFrame(rows, columns=["feed", "domain", "place", "link", "title", "summary", "content", "published", "thumbs", "media", "enclosures"]).assign(enclosures=lambda d: [[{"href": h, "type": t} for h, t in x] for x in d.enclosures])
+    kinds = [pa.string(), pa.string(), pa.int32(), *[pa.string()] * 5, *[pa.list_(pa.string())] * 2, pa.list_(pa.struct([("href", pa.string()), ("type", pa.string())]))]
+    names = ["feed", "domain", "place", "link", "title", "summary", "content", "published", "thumbs", "media", "enclosures"]
 
-    return bodies.select("feed", "domain", "body").mapInPandas(parse, "feed string, domain string, place int, " + ENTRY)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["feed"], r["domain"], i, *e[:-1], [{"href": h, "type": k} for h, k in e[-1]]) for r in batch.to_pylist() for i, e in enumerate(_entries(r["body"] or "", most))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+    return bodies.select("feed", "domain", "body").mapInArrow(parse, "feed string, domain string, place int, " + ENTRY)
 
 
 def rss_items(bodies: DataFrame, label: str, now: Column, most: int = 50) -> DataFrame:
     """Records of feed entries; entries without both URL and title go, after the cap."""
     e = rss_entries(bodies, most).where("not (link = '' and title = '')")
-    when = F.coalesce(F.try_to_timestamp("published", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("published", F.lit("yyyy-MM-dd'T'HH:mm:ssX")), now)
+    when = F.coalesce(F.try_to_timestamp(F.regexp_replace("published", r"^[A-Za-z]+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("published", F.lit("yyyy-MM-dd'T'HH:mm:ssX")), now)
     return e.select(
         F.col("link").alias("source_url"), T.image_url(F.col("thumbs"), F.col("media"), F.col("enclosures"), F.col("content"), F.col("summary")).alias("image_url"),
         T.strip_html(F.col("title")).alias("title"), T.strip_html(F.when(F.col("content") != "", F.col("content")).otherwise(F.col("summary"))).alias("text"),

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from siltstone.operators import credibility
 from siltstone.scratch import ready_workers, shared_dir
@@ -23,7 +24,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("batch", "int")).parquet(f"{root}/out")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{root}/out")
     if mode == "complete":
         rows = rows.where(F.col("batch") == F.lit(rows.agg(F.max("batch")).first()[0]))
     return rows.drop("batch")
