@@ -282,7 +282,7 @@ def similarities(weights_of: np.ndarray, parts: list[np.ndarray], log_n: float,
         w = weights(e["df"][has], tf, log_n)
         if k:
             w = w - weights(e["df"][has], tf * 0 + float(levels[k - 1]), log_n)
-        features.append((row[has], bs.mix(h[has] + U(k)), w))
+        features.append((row[has], bs.mix(bs.mix(h[has]) + U(k)), w))
     row, h, w = (np.concatenate([f[i] for f in features]) for i in range(3))
     _, column, n = np.unique(h, return_inverse=True, return_counts=True)
     shared = n > 1
