@@ -204,6 +204,7 @@ def find(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
     if not HINT.search(text):
         return []
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
     has_at, has_digit = "@" in text, any(d in text for d in DIGITS)
     for kind, (pattern, f) in PATTERNS.items():
         if (kind == "email" and not has_at) or (kind not in ("email", "secret") and not has_digit):
@@ -211,10 +212,15 @@ def find(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             if kind == "secret" and not SECRET_NAME.search(text, max(0, m.start() - 48), m.start()):
                 continue
-            if any(a < m.end() and m.start() < b for a, b, _, _ in found):
+            if taken.find(1, m.start(), m.end()) >= 0:
                 continue
-            if (new := f(m[0], key)) is not None:
-                found.append((m.start(), m.end(), kind, new))
+            value = m[0]
+            while (new := f(value, key)) is None and kind == "iban" and " " in value:
+                value = value.rpartition(" ")[0]  # capitals that follow the number are no part of it
+            if new is not None:
+                end = m.start() + len(value)
+                found.append((m.start(), end, kind, new))
+                taken[m.start() : end] = b"\x01" * len(value)
     return sorted(found)
 
 

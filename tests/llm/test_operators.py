@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from siltstone.llm import bytescan as bs
-from siltstone.llm import chat, mixing, packing, pii, rules, sharding, topk, warc
+from siltstone.llm import chat, classifier, mixing, packing, pii, rules, sharding, topk, warc
 from siltstone.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,6 +60,9 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pii.date(pii.date("2024-02-29"), undo=True) == "2024-02-29"
     assert pii.ssn(pii.ssn("123-45-6789"), undo=True) == "123-45-6789"
     assert pii.iban("DE89370400440532013000") != "DE89370400440532013000"
+    (a, b, kind, new), = pii.find("pay to DE89 3704 0044 0532 0130 00 BY FRIDAY")
+    assert (a, b, kind) == (7, 34, "iban") and new != "DE89 3704 0044 0532 0130 00"
+    assert len(pii.find("mail a.b@mail.example.com or 10.1.2.3, " * 5000)) == 10000
 
 
 def test_packing_is_gapless_and_ids_are_the_tokenizers(spark):
@@ -166,3 +169,18 @@ def test_scan_of_slices_with_offsets():
     data, offs = bs.text_bytes(pa.array(["x", "ab c", None, "d"]).slice(1))
     s = bs.scan(data, offs)
     assert s.counts.tolist() == [2, 0, 1]
+
+
+def test_classifier_learns_held_out_labels(spark):
+    rng = random.Random(7)
+    good, bad = ["river", "stone", "bridge", "harvest", "lantern"], ["click", "buy", "win", "cash", "prize"]
+    texts = [" ".join(rng.choices(good if i % 2 else bad, k=rng.choice([12, 200]))) for i in range(300)] + ["", None]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(5, None), (None, 1)], "doc_id long, quality int")
+    rows = classifier.quality_classifier(docs(spark, texts), labels).collect()
+    assert len(rows) == 302 and {r.doc_id for r in rows} == set(range(302))
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
+        assert r.doc_id >= 300 or not r.held_out or r.predicted == r.doc_id % 2
+    assert classifier.quality_classifier(docs(spark, texts).limit(0), labels).count() == 0
+    assert {r.score for r in classifier.quality_classifier(docs(spark, texts), labels.limit(0)).collect()} == {0.5}
