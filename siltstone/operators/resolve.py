@@ -51,7 +51,10 @@ def candidates(mentions: DataFrame, entities: DataFrame, planes: list[list[float
 
 
 def resolve(mentions: DataFrame, entities: DataFrame, planes: list[list[float]] | None = None, merge: float = MERGE, review: float = REVIEW) -> DataFrame:
-    """(mention_id, entity_id, score, action): .4 cosine + .25 name similarity + .2 co-occurrence + .15 type."""
+    """(mention_id, entity_id, score, action): .4 cosine + .25 name similarity + .2 co-occurrence + .15 type.
+
+    Scores are rounded to 12 decimals before they are compared, so that the order of additions doesn't decide at a threshold.
+    """
     if review > merge:
         raise ValueError("review threshold above merge threshold")
     m = mentions.select("mention_id", F.col("text").alias("m_text"), F.col("entity_type").alias("m_type"), F.col("cooc").alias("m_cooc"), F.col("embedding").alias("m_emb"))
@@ -61,7 +64,7 @@ def resolve(mentions: DataFrame, entities: DataFrame, planes: list[list[float]]
     best = F.array_max(F.transform(names, lambda n: T.similarity(T.clean_mention(F.col("m_text")), F.lower(n))))
     score = 0.4 * F.coalesce(V.cosine(F.col("m_emb"), F.col("embedding")), F.lit(0.0)) + 0.25 * best
     score = score + 0.2 * F.coalesce(F.array_contains("m_cooc", F.col("entity_id")).cast("double"), F.lit(0.0)) + 0.15 * F.coalesce((F.col("m_type") == F.col("entity_type")).cast("double"), F.lit(0.0))
-    top = pairs.withColumn("s", score).where("s > 0").groupBy("mention_id").agg(F.max("s").alias("score"), F.min_by("entity_id", F.struct(-F.col("s"), "entity_id")).alias("best"))
+    top = pairs.withColumn("s", F.round(score, 12)).where("s > 0").groupBy("mention_id").agg(F.max("s").alias("score"), F.min_by("entity_id", F.struct(-F.col("s"), "entity_id")).alias("best"))
     out = mentions.select("mention_id").join(top, "mention_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     action = F.when(F.col("score") >= merge, "merge").when(F.col("score") >= review, "review").otherwise("create")
     return out.select("mention_id", F.when(action != "create", F.col("best")).alias("entity_id"), "score", action.alias("action"))

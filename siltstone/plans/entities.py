@@ -53,20 +53,20 @@ def fuzzy_alias_lookup(t: Tables):
 def _mentions(t: Tables):
     """Customers as entities whose key gives the embedding; the mentions are suppliers' names told as customers'."""
     emb = t.embeddings
-    e = t.customer.where("c_custkey <= 500").join(emb, F.col("c_custkey") == F.col("vec_id") + 1)
+    e = t.customer.join(emb, F.col("c_custkey") == F.col("vec_id") + 1, "left")
     e = e.select(F.col("c_custkey").alias("entity_id"), F.concat(F.lit("Client "), F.col("c_custkey").cast("string")).alias("canonical_name"), F.array(F.col("c_name")).alias("aliases"), F.col("c_mktsegment").alias("entity_type"), "embedding")
-    m = t.supplier.where("s_suppkey <= 100").join(emb, F.col("s_suppkey") == F.col("vec_id") + 1)
+    m = t.supplier.join(emb, F.col("s_suppkey") == F.col("vec_id") + 1, "left")
     m = m.select(F.col("s_suppkey").alias("mention_id"), F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("text"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("entity_type"), F.array(F.col("s_suppkey") + 1, F.col("s_suppkey") + 2).alias("cooc"), "embedding")
     return m, e
 
 
 ER = """
-WITH e AS (SELECT c_custkey AS entity_id, 'client ' || c_custkey AS n1, lower(c_name) AS n2, c_mktsegment AS et, embedding AS ee FROM customer JOIN embeddings ON c_custkey = vec_id + 1 WHERE c_custkey <= 500),
-m AS (SELECT s_suppkey AS mention_id, lower('Customer#' || lpad(s_suppkey::VARCHAR, 9, '0')) AS mt, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS ty, [s_suppkey + 1, s_suppkey + 2] AS cooc, embedding AS me FROM supplier JOIN embeddings ON s_suppkey = vec_id + 1 WHERE s_suppkey <= 100),
+WITH e AS (SELECT c_custkey AS entity_id, 'client ' || c_custkey AS n1, lower(c_name) AS n2, c_mktsegment AS et, embedding AS ee FROM customer LEFT JOIN embeddings ON c_custkey = vec_id + 1),
+m AS (SELECT s_suppkey AS mention_id, lower('Customer#' || lpad(s_suppkey::VARCHAR, 9, '0')) AS mt, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS ty, [s_suppkey + 1, s_suppkey + 2] AS cooc, embedding AS me FROM supplier LEFT JOIN embeddings ON s_suppkey = vec_id + 1),
 c AS (SELECT mention_id, entity_id FROM m JOIN e ON mt = n2 OR mt = 'client' UNION SELECT mention_id, unnest(cooc) FROM m),
 s AS (SELECT mention_id, entity_id,
-  0.4 * list_cosine_similarity(me::DOUBLE[], ee::DOUBLE[]) + 0.25 * greatest(1 - levenshtein(mt, n1) / greatest(length(mt), length(n1))::DOUBLE, 1 - levenshtein(mt, n2) / greatest(length(mt), length(n2))::DOUBLE)
-  + 0.2 * list_contains(cooc, entity_id)::INT + 0.15 * (ty = et)::INT AS score FROM c JOIN e USING (entity_id) JOIN m USING (mention_id)),
+  round(0.4 * coalesce(list_cosine_similarity(me::DOUBLE[], ee::DOUBLE[]), 0) + 0.25 * greatest(1 - levenshtein(mt, n1) / greatest(length(mt), length(n1))::DOUBLE, 1 - levenshtein(mt, n2) / greatest(length(mt), length(n2))::DOUBLE)
+  + 0.2 * list_contains(cooc, entity_id)::INT + 0.15 * (ty = et)::INT, 12) AS score FROM c JOIN e USING (entity_id) JOIN m USING (mention_id)),
 b AS (SELECT mention_id, arg_min(entity_id, (-score, entity_id)) AS best, max(score) AS score FROM s WHERE score > 0 GROUP BY mention_id)
 """
 
