@@ -20,10 +20,11 @@ def alias_table(entities: DataFrame) -> DataFrame:
     return out.select(T.clean_mention(F.col("name")).alias("alias"), "entity_id", F.struct("seq", "pos").alias("seq")).where("alias <> ''")
 
 
-def exact_lookup(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Adds entity_id by the alias's last writer, null if there is none. mentions: (mention, ...)."""
+def exact_lookup(mentions: DataFrame, aliases: DataFrame, stripped: bool = False) -> DataFrame:
+    """Adds entity_id by the alias's last writer, null if there is none. mentions: (mention, ...); ``stripped`` ones have no white space at the ends."""
+    clean = F.lower("mention") if stripped else T.clean_mention(F.col("mention"))
     last = aliases.groupBy("alias").agg(F.max_by("entity_id", "seq").alias("entity_id"))
-    return mentions.withColumn("_clean", T.clean_mention(F.col("mention"))).join(last, F.col("_clean") == F.col("alias"), "left").drop("_clean", "alias")
+    return mentions.withColumn("_clean", clean).join(last, F.col("_clean") == F.col("alias"), "left").drop("_clean", "alias")
 
 
 def fuzzy_lookup(mentions: DataFrame, aliases: DataFrame, bucket: int = BUCKET, accept: float = ACCEPT) -> DataFrame:

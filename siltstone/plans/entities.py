@@ -17,6 +17,14 @@ ITEMS = r"""items AS (SELECT item_id, lower(array_to_string(regexp_extract_all(t
 alias AS (SELECT alias, max(item_id) AS entity_id FROM items WHERE alias <> '' GROUP BY alias)"""
 
 
+def _grams(t: Tables):
+    """(doc_id, gram) of runs of 1 to 3 tokens. Texts that lie in fewer parts than there are cores are dealt out first."""
+    docs, cores = t.documents.select("doc_id", "text"), t.spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
+    return docs.select("doc_id", T.tokens(F.col("text")).alias("toks")).select("doc_id", F.explode(T.ngrams(F.col("toks"))).alias("gram"))
+
+
 def item_entities(t: Tables):
     name = F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ")
     return t.benchmark.select(F.col("item_id").alias("entity_id"), name.alias("canonical_name"), F.array().cast("array<string>").alias("aliases"), F.col("item_id").alias("seq"))
@@ -25,15 +33,14 @@ def item_entities(t: Tables):
 @query(f"WITH {GRAMS}, {ITEMS} SELECT doc_id, count(*) AS n_resolved, count(DISTINCT entity_id) AS n_entities FROM grams JOIN alias ON lower(g) = alias GROUP BY doc_id")
 def resolve_exact_mentions(t: Tables):
     """Mentions of each document that are aliases. Aliases are a dimension; Spark broadcasts them if they are small."""
-    mentions = t.documents.select("doc_id", T.tokens(F.col("text")).alias("toks")).select("doc_id", F.explode(T.ngrams(F.col("toks"))).alias("mention"))
-    found = resolve.exact_lookup(mentions, resolve.alias_table(item_entities(t))).where("entity_id is not null")
+    mentions = _grams(t).withColumnRenamed("gram", "mention")
+    found = resolve.exact_lookup(mentions, resolve.alias_table(item_entities(t)), stripped=True).where("entity_id is not null")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_resolved"), F.countDistinct("entity_id").alias("n_entities"))
 
 
 @query(f"WITH {GRAMS} SELECT g AS gram, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM grams GROUP BY g HAVING count(*) >= 50")
 def candidate_ngrams(t: Tables):
-    grams = t.documents.select("doc_id", T.tokens(F.col("text")).alias("toks")).select("doc_id", F.explode(T.ngrams(F.col("toks"))).alias("gram"))
-    per = grams.groupBy("gram", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    per = _grams(t).groupBy("gram", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs")).where("n >= 50")
 
 
