@@ -32,19 +32,20 @@ from siltstone.ranks import salted_rank
 from siltstone.scratch import Scratch
 
 CAPACITY, END_ID = 1024, 2
-#: Distinct words that a Python worker remembers; beyond, the memory starts anew.
-MEMO_WORDS = 150_000
+#: Distinct words that a Python worker remembers (about 200 bytes each); beyond, the memory starts anew. Results don't depend on it.
+MEMO_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordMemo(dict):
     """ids, as little-endian 32-bit bytes, of words that follow a space. Misses are encoded in batches."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
+        self.most = most
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,7 +56,7 @@ class WordMemo(dict):
         The tokenizer's pattern starts a new unit at each single space between two other characters, with the space
         as the unit's first character, so the text's ids are those of its words in turn. Texts with two spaces in a row go to it whole.
         """
-        if len(self) > MEMO_WORDS:
+        if len(self) > self.most:
             self.clear()
         parts = [t.split(" ") if "  " not in t else None for t in texts]
         new = list({w for p in parts if p for w in p[1:]} - self.keys())
@@ -69,8 +70,8 @@ class WordMemo(dict):
 
 
 @functools.lru_cache(1)
-def memo(path: str) -> WordMemo:
-    return WordMemo(path)
+def memo(path: str, most: int) -> WordMemo:
+    return WordMemo(path, most)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -79,7 +80,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((s, capacity) for s in range(head, n, capacity))] if n else []
 
 
-def tokenized_pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, batch_bytes: int = 1 << 22) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, batch_bytes: int = 1 << 22, memo_words: int = MEMO_WORDS) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +95,7 @@ def tokenized_pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str
             for i, j in zip([0, *edges], [*edges, len(sizes)], strict=True):
                 ids = column[int(i) : int(j)].to_pylist()
                 owners = batch.column(0)[int(i) : int(j)].to_pylist()
-                for owner, found in zip(owners, memo(path).ids([t or "" for t in ids]), strict=True):
+                for owner, found in zip(owners, memo(path, memo_words).ids([t or "" for t in ids]), strict=True):
                     found += end
                     view = memoryview(found)
                     rows += [(owner, k, s, n, zlib.crc32(view[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(found) // 4, capacity))]
@@ -178,14 +179,14 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece with its place: sequence and offset, offsets of a sequence gapless from 0."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     scratch = Scratch(docs.sparkSession, "packing")
-    return best_fit(scratch.save(tokenized_pieces(docs, path, text, doc_id, capacity, end_id)), capacity)
+    return best_fit(scratch.save(tokenized_pieces(docs, path, text, doc_id, capacity, end_id, memo_words=memo_words)), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
