@@ -1,7 +1,10 @@
 """Operator 2, quality rules: base counts, then a hashed n-gram log-likelihood ratio.
 
 Two multinomials over ``2**bits`` hashed word uni- and bigrams are counted over every document: one over the rows
-whose id is trusted (target), one over all rows (raw corpus), both with add-one smoothing. A document's score is the
+whose id is trusted (target), one over all rows (raw corpus). The target is smoothed towards the raw corpus, with
+``PRIOR`` occurrences in each bucket that agree with it: where the trusted rows would hold e occurrences of a bucket if
+they were like the corpus and hold c, target / raw is (c + PRIOR) / (e + PRIOR). Too little text to tell (a small e)
+thus scores about 0 whatever the sizes of the tables and the number of labels. A document's score is the
 sum of log(target / raw) over its n-grams divided by their number, and it is kept if it passes the base rules and the
 score is at least ``threshold``. Every document is thresholded alike; nothing is drawn at random.
 
@@ -11,7 +14,7 @@ trusted ids are broadcast up to ``BROADCAST_IDS`` rows and joined by a shuffle b
 
 Defined cases: a null or empty text has no words, fails the base rules and scores 0; a null id is never trusted; an
 id that repeats is judged row by row; trusted ids that repeat count once; without trusted rows (or without any rows)
-both multinomials are uniform and every score is 0, so only the base rules decide; other columns of the input are
+the target is the raw corpus and every score is 0, so only the base rules decide; other columns of the input are
 ignored by ``quality_scores`` and passed through by ``quality_filter``, whatever their names.
 """
 
@@ -31,6 +34,8 @@ BITS = 18
 CHUNKS = 16
 #: Clean text scores about 0; text from shapes that the trusted rows lack scores far below.
 THRESHOLD = -0.2
+#: Occurrences. An n-gram met once in the corpus and in no trusted row scores log(5 / 6) at least, above the threshold, so that unknown words alone can't reject a text.
+PRIOR = 5.0
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 BROADCAST_IDS = 2_000_000
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -101,12 +106,11 @@ def _unpacked(blob: bytes, width: int) -> np.ndarray:
     return out.reshape(2, width)
 
 
-def ratio_table(found: np.ndarray) -> np.ndarray:
-    """log(target / raw) of each bucket, add-one smoothed; zeros without trusted n-grams."""
-    if not found[0].any():
-        return np.zeros(found.shape[1])
-    log = np.log((found + 1.0) / (found.sum(axis=1, keepdims=True) + found.shape[1]))
-    return log[0] - log[1]
+def ratio_table(found: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """log(target / raw) of each bucket, smoothed towards the raw corpus; zeros without trusted n-grams."""
+    target, raw = found
+    expected = raw * (target.sum() / max(raw.sum(), 1))
+    return np.log((target + prior) / (expected + prior))
 
 
 def verdicts(data: np.ndarray, offs: np.ndarray, table: np.ndarray, bits: int, threshold: float) -> dict[str, np.ndarray]:

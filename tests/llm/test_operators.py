@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import bytescan as bs
@@ -40,6 +41,23 @@ def test_ratio_counts_equal_brute_force(spark):
     assert found.sum(axis=1).tolist() == [grams[3] + grams[6], sum(grams)]
 
 
+def test_few_labels_reject_junk_but_no_clean_text(spark):
+    rng = random.Random(5)
+    clean = [" ".join(f"w{int(rng.paretovariate(0.5)) % 3000}x{rng.randrange(3)}" for _ in range(80)) for _ in range(60)]
+    junk = [" ".join(rng.choices([f"click{i}" for i in range(12)], k=80)) for _ in range(20)]
+    texts = [*clean, *junk]
+    trusted = spark.createDataFrame([(i,) for i in range(20)], "_trusted_id long")
+    got = {r.doc_id: r for r in rules.quality_scores(docs(spark, texts), trusted).collect()}
+    grams = [[b for _, bucket in rules.ngrams(bs.scan(*bs.text_bytes(pa.array([t]))), rules.BITS) for b in bucket.tolist()] for t in texts]
+    raw, target = Counter(g for d in grams for g in d), Counter(g for d in grams[:20] for g in d)
+    share = target.total() / raw.total()
+    for i, d in enumerate(grams):
+        llr = sum(np.log((target[g] + 5) / (share * raw[g] + 5)) for g in d) / len(d)
+        assert len(d) == 159 and abs(got[i].llr - llr) < 1e-9
+        assert got[i].base_failed or got[i].kept == (i < 60)
+    assert sum(not got[i].base_failed for i in range(20, 60)) > 30 and sum(not got[i].base_failed for i in range(60, 80)) > 10
+
+
 @pytest.mark.parametrize("size", [2, 3, 10, 97, 1000])
 def test_feistel_is_a_permutation(size):
     out = [pii.feistel(i, size, b"t") for i in range(size)]
