@@ -10,6 +10,8 @@ from siltstone.functions import vectors as V
 
 PREFIX, BUCKET, ACCEPT = 3, 50, 0.92
 MERGE, REVIEW = 0.85, 0.65
+#: Planes of the signature block, for embeddings of 64 numbers; others need planes of their own length.
+SIGNATURES = V.gauss_planes(64)
 GRAPH_WEIGHT = {"exact": 1.0, "high": 0.85, "provisional": 0.5, "unresolved": 0.0}
 
 
@@ -39,19 +41,22 @@ def fuzzy_lookup(mentions: DataFrame, aliases: DataFrame, bucket: int = BUCKET,
     return mentions.select("mention_id").join(best, "mention_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def candidates(mentions: DataFrame, entities: DataFrame, planes: list[list[float]] | None = None) -> DataFrame:
-    """Distinct (mention_id, entity_id) that share a first token, a signature, or are named as co-occurring."""
+def candidates(mentions: DataFrame, entities: DataFrame, planes: list[list[float]] = SIGNATURES) -> DataFrame:
+    """Distinct (mention_id, entity_id) that share a first token, a signature, or are named as co-occurring. Empty ``planes`` leave the signatures out; an embedding of another length than theirs is an error."""
     names = F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))))
     blocks = entities.select("entity_id", names.alias("name")).select("entity_id", T.first_token(F.col("name")).alias("k")).where("k <> ''").distinct()
     found = mentions.select("mention_id", T.first_token(F.col("text")).alias("k")).join(blocks, "k").select("mention_id", "entity_id")
     found = found.unionByName(mentions.select("mention_id", F.explode("cooc").alias("entity_id")))
     if planes:
-        sig = entities.where("embedding is not null").select("entity_id", V.signature(F.col("embedding"), planes).alias("k"))
-        found = found.unionByName(mentions.where("embedding is not null").select("mention_id", V.signature(F.col("embedding"), planes).alias("k")).join(sig, "k").select("mention_id", "entity_id"))
+        def signed(t: DataFrame, key: str) -> DataFrame:
+            fits = F.size("embedding") == len(planes[0])
+            return t.where("embedding is not null").select(key, F.when(fits, V.signature(F.col("embedding"), planes)).otherwise(F.raise_error(F.lit("embedding and planes differ in length"))).alias("k"))
+
+        found = found.unionByName(signed(mentions, "mention_id").join(signed(entities, "entity_id"), "k").select("mention_id", "entity_id"))
     return found.distinct()
 
 
-def resolve(mentions: DataFrame, entities: DataFrame, planes: list[list[float]] | None = None, merge: float = MERGE, review: float = REVIEW) -> DataFrame:
+def resolve(mentions: DataFrame, entities: DataFrame, planes: list[list[float]] = SIGNATURES, merge: float = MERGE, review: float = REVIEW) -> DataFrame:
     """(mention_id, entity_id, score, action): .4 cosine + .25 name similarity + .2 co-occurrence + .15 type.
 
     Scores are rounded to 12 decimals before they are compared, so that the order of additions doesn't decide at a threshold.
@@ -71,7 +76,7 @@ def resolve(mentions: DataFrame, entities: DataFrame, planes: list[list[float]]
     return out.select("mention_id", F.when(action != "create", F.col("best")).alias("entity_id"), "score", action.alias("action"))
 
 
-def blocking_savings(mentions: DataFrame, entities: DataFrame, planes: list[list[float]] | None = None) -> DataFrame:
+def blocking_savings(mentions: DataFrame, entities: DataFrame, planes: list[list[float]] = SIGNATURES) -> DataFrame:
     """Comparisons without and with blocking."""
     naive = mentions.agg(F.count(F.lit(1)).alias("m")).join(entities.agg(F.count(F.lit(1)).alias("e")))
     return naive.join(candidates(mentions, entities, planes).agg(F.count(F.lit(1)).alias("blocked"))).select((F.col("m") * F.col("e")).alias("naive"), "blocked")
