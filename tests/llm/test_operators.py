@@ -83,6 +83,25 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert len(pii.find("mail a.b@mail.example.com or 10.1.2.3, " * 5000)) == 10000
 
 
+@pytest.mark.parametrize("text", ["C 12/27", "C 123", "C-123", "order 7 C", "7 C 12/27 123", "2024-02-29 C", "123-45-6789 C 9", "1 2 3 4 5 6 7 8 9 C", "C 12 C", "12.99 C 5", "C and C"])
+@pytest.mark.parametrize("number", ["4111 1111 1111 1111", "4111111111111111", "3782 822463 10005", "4111-1111-1111-1111"])
+def test_cards_beside_other_numbers(text, number):
+    text = text.replace("C", number)
+    new, spans = pii.rewrite(text)
+    covered = {i for a, b, _, _ in spans for i in range(a, b)}
+    for m in re.finditer(re.escape(number), text):
+        assert covered >= set(range(m.start(), m.end())) and new[m.start() : m.end()] != number
+    assert len(new) == len(text)
+
+
+def test_cards_are_taken_whole_and_other_runs_stay():
+    for text in ("4111 1111 1111 1111 12/27", "order 7 4111 1111 1111 1111"):
+        (a, b, kind, new), = pii.find(text)
+        assert (text[a:b], kind, new) == ("4111 1111 1111 1111", "card", pii.card("4111 1111 1111 1111"))
+    assert pii.find("4111 1111 1111 1112 12/27") == [] and pii.find("x4111 1111 1111 1111") == [] and pii.find("4111 1111 1111 1111x") == []
+    assert pii.find("4" * 100_000) == [] and len(pii.find("4111 1111 1111 1111 " * 5000)) == 5000
+
+
 def test_packing_is_gapless_and_ids_are_the_tokenizers(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
