@@ -44,7 +44,7 @@ class WordMemo(dict):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
+        self.added = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.most = most
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -54,11 +54,12 @@ class WordMemo(dict):
         """ids of each text.
 
         The tokenizer's pattern starts a new unit at each single space between two other characters, with the space
-        as the unit's first character, so the text's ids are those of its words in turn. Texts with two spaces in a row go to it whole.
+        as the unit's first character, so the text's ids are those of its words in turn. Texts with two spaces in a row go to it whole,
+        and so do those that hold an added token, which is cut out before the pattern.
         """
         if len(self) > self.most:
             self.clear()
-        parts = [t.split(" ") if "  " not in t else None for t in texts]
+        parts = [t.split(" ") if "  " not in t and not any(a in t for a in self.added) else None for t in texts]
         new = list({w for p in parts if p for w in p[1:]} - self.keys())
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]

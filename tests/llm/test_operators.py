@@ -130,6 +130,20 @@ def test_packing_is_gapless_and_ids_are_the_tokenizers(spark):
         assert at <= 1024
 
 
+def test_added_tokens_in_texts_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b c", "x <|endoftext|>  <|endoftext|>", "two <|endoftext| > three", "one two"]
+    assert tk.encode(texts[0], add_special_tokens=False).ids == [505, 220, 50256, 734]
+    for most in (0, 100):
+        own = packing.WordMemo(path, most)
+        for _ in range(2):
+            assert [np.frombuffer(b, "<u4").tolist() for b in own.ids(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_plan_matches_sequential_best_fit_decreasing():
     rng = random.Random(2)
     for _ in range(10):
