@@ -1,8 +1,8 @@
 """Operator 1, near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Shingles are runs of five words, weighted (1 + ln tf) * idf with idf = 1 + ln(N / df) / ln N, between 1 and 2: common
-passages count less, yet a group of thousands of near copies, whose shingles are common just because of the group,
-keeps a similarity close to the unweighted one. Two texts are linked if their weighted Jaccard similarity, sum of
+passages count less. A large group of near copies lowers its members' similarity somewhat, as their shingles are common
+just because of the group (figures in the README). Two texts are linked if their weighted Jaccard similarity, sum of
 minima over sum of maxima, is at least 0.8; classes are the components of the links.
 
 1. Every text sends its shingle hashes, packed, to buckets of the hash space. A bucket knows all texts of its shingles,
