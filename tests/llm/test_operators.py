@@ -130,33 +130,86 @@ def test_packing_is_gapless_and_ids_are_the_tokenizers(spark):
         assert at <= 1024
 
 
-def test_added_tokens_in_texts_are_the_tokenizers():
+SPACES = ["a", "bc", " ", "  ", "\n", "\t", " \n", "\u00a0", "é", "ß", "'s", "'", "it's", "12", "!", "。", "\u3000", "\u2003", "<|endoftext|>", "\x85", "\u180e", "\r\n", "\x1c", "\x0b", "x y", "日本"]
+
+
+@pytest.mark.parametrize("most", [0, 50, 10_000])
+def test_ids_of_parts_are_the_tokenizers(most):
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    tk = Tokenizer.from_file(path)
-    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b c", "x <|endoftext|>  <|endoftext|>", "two <|endoftext| > three", "one two"]
-    assert tk.encode(texts[0], add_special_tokens=False).ids == [505, 220, 50256, 734]
-    for most in (0, 100):
-        own = packing.WordMemo(path, most)
-        for _ in range(2):
-            assert [np.frombuffer(b, "<u4").tolist() for b in own.ids(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    rng = random.Random(most)
+    texts = ["one <|endoftext|> two", "", " x", "y " * 50, "z" * 300 + " z", *("".join(rng.choices(SPACES, k=rng.randrange(14))) for _ in range(4000))]
+    memo = packing.WordMemo(public_tokenizers.path("byte_bpe_50k.json"), most)
+    want = [e.ids for e in memo.encoder.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [505, 220, 50256, 734]
+    for i in range(0, len(texts), 500):
+        ids, first = memo.ids(*bs.text_bytes(pa.array(texts[i : i + 500])))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == want[i : i + 500]
+
 
+def best_fit_decreasing(lengths, capacity):
+    gaps: list[int] = []
+    for size in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= size]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else capacity) - size)
+    return len(gaps)
 
-def test_plan_matches_sequential_best_fit_decreasing():
+
+def test_one_task_packs_as_sequential_best_fit_decreasing():
     rng = random.Random(2)
     for _ in range(10):
         counts = {rng.randint(1, 64): rng.randint(1, 30) for _ in range(20)}
-        gaps: list[int] = []
-        for size in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
-            fit = [g for g in gaps if g >= size]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - size)
-            else:
-                gaps.append(64 - size)
-        assert packing.plan(counts, 64)["sequences"] == len(gaps)
+        assert packing.decreasing(counts, 64)["sequences"] == best_fit_decreasing([s for s, n in counts.items() for _ in range(n)], 64)
+
+
+def test_a_sweep_gives_each_piece_the_smallest_free_gap():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        rows = sorted([(-int(s), 0) for s in rng.integers(1, 40, 15)] + [(-int(s), 1) for s in rng.integers(1, 40, 20)])
+        size, piece = np.array([-s for s, _ in rows]), np.array([k == 1 for _, k in rows])
+        cuts = [0, *sorted(rng.integers(0, len(rows), 3).tolist()), len(rows)]
+        want, free = {}, []
+        for i in range(len(rows)):
+            if not piece[i]:
+                free.append(i)
+            elif free:
+                want[i] = size[free.pop()]
+        got, left, over, counts = {}, {}, {}, []
+        for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            p, g, rest, slots = packing.sweep(size[a:b], piece[a:b], np.ones(b - a, np.int64))
+            got |= {a + int(i): size[a + int(j)] for i, j in zip(p, g, strict=True)}
+            left[part], over[part] = a + rest, a + slots
+            counts.append((part, len(rest), len(slots)))
+        for part, rank, other, end, n, _ in packing.meet(counts).tolist():
+            got |= {int(left[part][rank + k]): size[over[other][end - 1 - k]] for k in range(n)}
+        assert got == want
+
+
+@pytest.mark.parametrize("lengths", ["mixed", "ones", "none"])
+def test_rounds_over_many_ranges_pack_like_one(spark, monkeypatch, lengths):
+    monkeypatch.setattr(packing, "ROWS", 400)
+    rng = random.Random(8)
+    own = {"mixed": [rng.choice([1, 3, rng.randint(1, 600), rng.randint(1, 1024)]) for _ in range(1500)], "ones": [1] * 900, "none": []}[lengths]
+    scratch = Scratch(spark, "test")
+    pieces = scratch.save(spark.createDataFrame(list(enumerate(own)), "uid long, length long"))
+    rows = packing.best_fit(pieces, scratch).collect()
+    assert sorted((r.uid, r.length) for r in rows) == list(enumerate(own))
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for p in places.values():
+        assert [o for o, _ in sorted(p)] == np.cumsum([0, *[n for _, n in sorted(p)][:-1]]).tolist() and sum(n for _, n in p) <= 1024
+    assert len(places) <= best_fit_decreasing(own, 1024) + 3
+
+
+def test_packed_pieces_carry_their_ids(spark):
+    rows = packing.pack(docs(spark, [*TEXTS, "many words " * 900]), with_ids=True).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    assert packing.pack(docs(spark).limit(0)).count() == 0
+    again = spark.createDataFrame([(None, "x y"), (None, "x y"), (5, None), (5, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.length) for r in packing.pack(again).collect()) == [(-1, 3), (-1, 3), (5, 1), (5, 1)]
 
 
 def test_archives_round_trip_and_damage(spark):
