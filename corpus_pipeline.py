@@ -30,8 +30,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: pieces of the documents with their sequences. The executors' memory is shared with the stages before, so fewer words are remembered."""
-    return packing.pack(docs, memo_words=150_000)
+    """Operator 8: pieces of the documents, with their token ids and their places in sequences."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
