@@ -18,10 +18,12 @@ REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (local tests) one is made and set."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one is made and set if master and executors are one machine, as in tests."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="siltstone-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         found = f"file://{path}"
@@ -43,7 +45,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.saved = 0, []
         ready_workers(spark)
 
     def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -52,8 +54,14 @@ class Scratch:
         df.write.option("compression", codec).mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.saved.append(out)
         return out
 
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        kept = {t._scratch_path for t in tables}
+        self.drop(*[t for t in self.saved if t._scratch_path not in kept])
+        self.saved = list(tables)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for table in tables:
