@@ -3,11 +3,12 @@
 Candidates are packed in blocks; a block keeps one list per dimension, its rows sorted by that component. For a query,
 each list is read from the end that adds most to its inner product, all lists to the same depth. At a depth, a row's
 lower bound is what was read of it plus the least that unread lists can add, its upper bound the same with each list's
-value at that depth, and rows never met are bounded by the sum of those values. Reading stops for a query when no row outside
-a small set can reach the k-th lower bound; the set's scores are then resolved. Bounds for all queries of a block of
-queries are evaluated together, as products of masked matrices.
+value at that depth, and rows never met are bounded by the sum of those values. Reading stops for a query when no row that was
+met in no list can reach the k-th lower bound; the scores of the met rows whose upper bound reaches it are then resolved. Bounds for all
+queries of a block of queries are evaluated together, as products of masked matrices.
 
-Queries in blocks meet candidates in blocks on a salt; a hot vector or a common value is one row among a
+Blocks of queries meet blocks of candidates on a grid of about ``TASKS`` cells per shuffle partition: rows of the grid hold parts of the
+candidates, columns parts of the queries, in numbers that keep the copies few. A hot vector or a common value is one row among a
 block's. The best k of each pair of blocks are merged per query.
 
 Scores are integer inner products of floor(scale * x), exact as long as sums stay below 2**53.
@@ -31,9 +32,10 @@ from siltstone.scratch import Scratch
 K, SCALE = 10, 1024
 BLOCK, QUERY_BLOCK = 4096, 1024
 #: Parts of a list that are read before bounds are compared again.
-DEPTHS = (0.25, 0.5, 0.75, 1.0)
-#: A query is resolved once at most so many times k rows of a block can still qualify.
-RESOLVE = 8
+DEPTHS = (0.25, 0.5, 0.625, 0.75, 0.875, 1.0)
+#: Pairs resolved at once.
+PAIRS = 1 << 15
+TASKS = 2
 
 
 def _integers(column: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -70,8 +72,8 @@ def _pack(size: int, scale: int):
     return pack
 
 
-def nra(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, rows, scores) of each query's best k rows of a block, or more where scores tie."""
+def nra(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """(query, rows, scores, depth) of each query's best k rows of a block, and others that could have been; ``depth`` is the part of the lists that was read."""
     n, dim = vectors.shape
     order = np.argsort(-vectors, axis=0, kind="stable")
     lists = np.take_along_axis(vectors, order, axis=0)  # each from largest to smallest
@@ -99,12 +101,15 @@ def nra(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.nda
             kth = np.partition(low, n - k, axis=0)[n - k]
         else:
             kth = np.full(len(waiting), -np.inf)
-        can = (high >= kth[None, :]) & ~own
-        some = can.sum(axis=0)
-        done = (some <= max(RESOLVE * k, 1)) & (kth > beyond) if depth < n else np.ones(len(waiting), bool)
-        for at in np.flatnonzero(done):
-            rows = np.flatnonzero(can[:, at])
-            yield int(waiting[at]), rows, vectors[rows] @ queries[waiting[at]]
+        done = kth > beyond if depth < n else np.ones(len(waiting), bool)
+        at = np.flatnonzero(done)
+        which, rows = np.nonzero(((high >= kth[None, :]) & ~own)[:, at].T)
+        scores = np.zeros(len(rows))
+        for i in range(0, len(rows), PAIRS):
+            scores[i : i + PAIRS] = np.einsum("ij,ij->i", vectors[rows[i : i + PAIRS]], queries[waiting[at[which[i : i + PAIRS]]]])
+        cuts = np.searchsorted(which, np.arange(len(at) + 1))
+        for q, i, j in zip(waiting[at].tolist(), cuts[:-1], cuts[1:], strict=True):
+            yield q, rows[i:j], scores[i:j], part
         waiting = waiting[~done]
         if not len(waiting):
             return
@@ -117,7 +122,7 @@ def _search(k: int):
                 dim = dim.as_py()
                 q_ids, ids = np.frombuffer(q_ids.as_py(), np.int64), np.frombuffer(ids.as_py(), np.int64)
                 found = [[], [], []]
-                for at, rows, scores in nra(np.frombuffer(q.as_py()).reshape(-1, dim), q_ids, np.frombuffer(v.as_py()).reshape(-1, dim), ids, k):
+                for at, rows, scores, _ in nra(np.frombuffer(q.as_py()).reshape(-1, dim), q_ids, np.frombuffer(v.as_py()).reshape(-1, dim), ids, k):
                     best = np.lexsort((ids[rows], -scores))[:k]
                     found[0].append(np.full(len(best), q_ids[at]))
                     found[1].append(ids[rows[best]])
@@ -132,15 +137,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     """query_id, rank (from 1), vec_id, score: each query's k best candidates, ties to the smaller id."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    salts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = "dim int, ids binary, vectors binary"
     blocks = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).mapInArrow(_pack(BLOCK, scale), kind)
     asked = queries.where(F.col(embedding).isNotNull() & ~F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     asked = asked.groupBy(F.col(vec_id).cast("long").alias("id")).agg(F.min(F.col(embedding).cast("array<double>")).alias("v"))
     asked = scratch.save(asked.mapInArrow(_pack(QUERY_BLOCK, scale), kind))
-    right = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("q_salt"))
-    left = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    pairs = left.join(right, (F.col("salt") == F.col("q_salt")) & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q", "ids", "vectors")
+    tasks, asking, blocks_n = TASKS * int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, asked.count()), 1 + vectors.count() // BLOCK
+    high = min(tasks, blocks_n, max(1, round((tasks * blocks_n / asking) ** 0.5)))  # rows of the grid; the queries are copied so often
+    wide = min(asking, -(-tasks // high))  # its columns; the candidates are copied so often
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    right = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), cell("ids", wide).alias("q_column"), every(high).alias("q_row"))
+    left = blocks.withColumn("row", cell("ids", high)).withColumn("column", every(wide))
+    pairs = left.join(right, (F.col("row") == F.col("q_row")) & (F.col("column") == F.col("q_column")) & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q", "ids", "vectors")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
