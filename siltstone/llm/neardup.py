@@ -5,24 +5,30 @@ passages count less. A large group of near copies lowers its members' similarity
 just because of the group (figures in the README). Two texts are linked if their weighted Jaccard similarity, sum of
 minima over sum of maxima, is at least 0.8; classes are the components of the links.
 
-1. Every text sends its shingle hashes, packed, to buckets of the hash space. A bucket knows all texts of its shingles,
-   so document frequencies are exact over all documents. Shingles of two or more texts go back to the texts' slice.
+1. Every slice of texts sends its shingle hashes, packed, to buckets of the hash space. A bucket knows all texts of its shingles,
+   so document frequencies are exact over all documents. Shingles of two or more texts go back to the texts' slice. A shingle of
+   ``GROUP`` texts of a slice or more is counted there and sent once, with the count; which texts these are goes to the slice directly.
+   So a line that all documents share costs its bucket one entry per slice.
 2. A shingle of one text adds nothing to a sum of minima, so a text whose shared weight is below 0.8 of its whole
    weight has no partner and is done, with class and result of its own. This bound is exact.
 3. Texts of equal words share a digest; one stands for all of them from here on.
 4. The others get ICWS signatures (``BANDS`` bands of ``ROWS`` samples). Unshared shingles are left out of the sampling,
    which can only raise the chance that partners meet; similarity is computed with the whole weights.
-5. Members of a band are compared with its first member, linked, and joined to components. Bands that still hold two
+5. Members of a band are compared with its first member, linked, and joined to components. The members of a leader are dealt to
+   blocks of ``BLOCK_BYTES``, each of which gets the leader once. Bands that still hold two
    components are searched whole: their texts are dealt to blocks of ``BLOCK_BYTES``, each pair of blocks computes all its
    similarities as one product of matrices and sends a spanning forest of the links it finds. So every candidate
    pair is either verified or already in one class, and no pairs are emitted but links that join texts.
 
+6. Classes and their sizes are found per digest and given to the rows by joins whose hot keys are broadcast.
+
 Nothing but counts reaches the driver.
 
 Defined cases: a text without words (null, empty, blank) is alone in its class; a text of one to four words is one
-shingle, so it equals only texts of the same words; an id may be null or repeat: rows are told apart, and class ids are
-the smallest ids in the class (null if it has none); repeated rows are copies; other columns are ignored by
-``near_duplicates`` and kept by ``keep_one_of_each``.
+shingle, so it equals only texts of the same words; a very long text is one slice by itself and handled whole; an id may be null or
+repeat, and counts as null if it isn't a whole number: rows are told apart, and class ids are the smallest ids in the class (null if it has
+none); repeated rows are copies; an empty table gives no rows; other columns, of whatever names, are ignored by ``near_duplicates``
+and kept by ``keep_one_of_each``.
 """
 
 from __future__ import annotations
@@ -37,20 +43,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.columns import numbered, pick, place, whole
 from siltstone.llm import bytescan as bs
 from siltstone.operators.components import components
 from siltstone.scratch import Scratch
+from siltstone.skew import PARTS, join_by_count
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 SLICE = 1 << 21
 BROADCAST_ROWS = 2_000_000
 BLOCK_BYTES = 1 << 22
+#: Texts of a slice from which on a shingle is counted in the slice; bytes of text per bucket at most, on average.
+GROUP, BUCKET_BYTES = 4, 1 << 27
 U = bs.U
 ENTRY = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("row", "<u2")])
 SHARED = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("row", "<u2"), ("df", "<u2"), ("tf", "<u4")])
 TERM = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("df", "<u2"), ("tf", "<u4")])
 ROW = np.dtype([("doc", "<i8"), ("known", "<i8"), ("text", "<i8"), ("d0", "<i8"), ("d1", "<i8"), ("n", "<i8")])
+#: A shingle of several texts of a slice, which the slice keeps: its hash and how many places in ``rows`` it has.
+LOCAL = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("n", "<u4")])
+#: In place of a row: all texts of a slice that hold the shingle. Slices have fewer rows.
+MANY = 0xFFFF
 DF_STEP = 2048.0
 VECTOR = "uid long, doc_id long, text_hash long, d0 long, d1 long, weight double, terms binary"
 
@@ -84,20 +98,36 @@ def _send(buckets: int):
                 table["doc"], table["known"], table["text"] = doc_ids[i:j], known[i:j], hashes[i:j]
                 table["d0"], table["d1"] = _digest(s)
                 table["n"] = np.bincount(row, minlength=s.n)
+                order = np.argsort(h, kind="stable")
+                h, row = h[order], row[order]
+                new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+                times = np.diff(np.r_[new, len(h)])
+                other_row = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])] if len(h) else np.zeros(0, bool)
+                rows = np.add.reduceat(other_row, new, dtype=np.int64) if len(h) else new
+                many = rows >= GROUP
+                single = ~np.repeat(many, times)
+                local = np.empty(int(many.sum()), LOCAL)
+                local["lo"], local["hi"], local["n"] = h[new[many]] & U(0xFFFFFFFF), (h[new[many]] >> U(32)) & U(0xFFFF), times[many]
+                kept = len(local).to_bytes(8, "little") + local.tobytes() + row[~single].astype("<u2").tobytes()
                 # the bucket comes from the hash's high bits, the rest of it from the low 48
-                bucket = ((h >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
-                order = np.argsort(bucket << 16 | row, kind="stable")
-                entries = np.empty(len(h), ENTRY)
-                h = h[order]
-                entries["lo"], entries["hi"], entries["row"] = h & U(0xFFFFFFFF), (h >> U(32)) & U(0xFFFF), row[order]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(cuts[1:] > cuts[:-1])
-                blobs = [entries[cuts[b] : cuts[b + 1]].tobytes() for b in full] + [table.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([*full.tolist(), -1 - slice_id % buckets], pa.int64()), pa.array([slice_id] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "slice", "blob"])
+                blobs = [_packed(h[single], row[single], buckets), _packed(h[new[many]], rows[many], buckets)]
+                full = sorted(set(blobs[0]) | set(blobs[1]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([*full, -1 - slice_id % buckets], pa.int64()), pa.array([slice_id] * (len(full) + 1), pa.int64()),
+                    pa.array([*[blobs[0].get(b) for b in full], table.tobytes()], pa.binary()), pa.array([*[blobs[1].get(b) for b in full], kept], pa.binary()),
+                ], ["bucket", "slice", "blob", "many"])
 
     return send
 
 
+def _packed(h: np.ndarray, row: np.ndarray, buckets: int) -> dict[int, bytes]:
+    """Entries of sorted hashes by bucket."""
+    entries = np.empty(len(h), ENTRY)
+    entries["lo"], entries["hi"], entries["row"] = h & U(0xFFFFFFFF), (h >> U(32)) & U(0xFFFF), row
+    cuts = np.searchsorted(((h >> U(40)) * U(buckets) >> U(24)).astype(np.int64), np.arange(buckets + 1))
+    return {int(b): entries[cuts[b] : cuts[b + 1]].tobytes() for b in np.flatnonzero(cuts[1:] > cuts[:-1])}
+
+
 def _short_slices(data: np.ndarray, offs: np.ndarray):
     """Slices of under 65,536 rows."""
     for i, j, d, o in bs.slices(data, offs, SLICE):
@@ -108,28 +138,33 @@ def _short_slices(data: np.ndarray, offs: np.ndarray):
 
 def _count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one bucket: (row, hash, df, tf) of the shingles that two rows or more hold, or one row twice, by slice."""
-    names = ["is_row", "slice", "blob"]
-    slices, parts = [], []
+    names = ["is_row", "slice", "blob", "many"]
+    slices, parts, groups = [], [], []
     for batch in batches:
         if key[0].as_py() < 0:
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(batch)), batch.column(1), batch.column(2)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(batch)), *batch.columns[1:]], names)
             continue
         slices += batch.column(1).to_pylist()
-        parts += [np.frombuffer(b.as_py(), ENTRY) for b in batch.column(2)]
+        parts += [np.frombuffer(b.as_py() or b"", ENTRY) for b in batch.column(2)]
+        groups += [np.frombuffer(b.as_py() or b"", ENTRY) for b in batch.column(3)]
     if not parts:
         return
-    e = np.concatenate(parts)
-    where = np.repeat(np.arange(len(parts), dtype=np.int64), [len(p) for p in parts]) << 16 | e["row"]
+    e = np.concatenate([*parts, *groups])
+    is_group = np.arange(len(e)) >= sum(map(len, parts))
+    where = np.repeat(np.r_[np.arange(len(parts)), np.arange(len(parts))], [*map(len, parts), *map(len, groups)]) << 16 | np.where(is_group, MANY, e["row"])
+    rows = np.where(is_group, e["row"], 1)
     h = e["lo"].astype(U) | e["hi"].astype(U) << U(32)
+    del e, is_group
     order = np.argsort(h, kind="stable")
-    h, where = h[order], where[order]
-    order = np.lexsort((where, h)) if np.any((h[1:] == h[:-1]) & (where[1:] < where[:-1])) else slice(None)
-    h, where = h[order], where[order]
+    h, where, rows = h[order], where[order], rows[order]
+    if np.any((h[1:] == h[:-1]) & (where[1:] < where[:-1])):
+        order = np.lexsort((where, h))
+        h, where, rows = h[order], where[order], rows[order]
     new_hash = np.r_[True, h[1:] != h[:-1]]
     new = np.flatnonzero(new_hash | np.r_[True, where[1:] != where[:-1]])
     tf = np.diff(np.r_[new, len(h)])
     group = np.cumsum(new_hash[new]) - 1
-    df = np.bincount(group)[group]
+    df = np.bincount(group, weights=rows[new]).astype(np.int64)[group]
     new = new[(keep := (df > 1) | (tf > 1))]
     out = np.empty(len(new), SHARED)
     out["lo"], out["hi"], out["row"] = h[new] & U(0xFFFFFFFF), h[new] >> U(32), where[new] & 0xFFFF
@@ -139,7 +174,22 @@ def _count(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     out, cuts = out[order], np.searchsorted(part[order], np.arange(len(parts) + 1))
     full = np.flatnonzero(cuts[1:] > cuts[:-1])
     if len(full):
-        yield pa.RecordBatch.from_arrays([pa.array([False] * len(full)), pa.array([slices[k] for k in full], pa.int64()), pa.array([out[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([False] * len(full)), pa.array([slices[k] for k in full], pa.int64()), pa.array([out[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary()), pa.nulls(len(full), pa.binary())], names)
+
+
+def _spread(markers: np.ndarray, kept: bytes) -> np.ndarray:
+    """(row, hash, df, tf) of the shingles that the slice counted itself. ``markers`` bring their document frequencies."""
+    n = int.from_bytes(kept[:8], "little")
+    local = np.frombuffer(kept, LOCAL, n, 8)
+    rows = np.frombuffer(kept, "<u2", offset=8 + n * LOCAL.itemsize).astype(np.int64)
+    pair, tf = np.unique(np.repeat(np.arange(n), local["n"]) << 16 | rows, return_counts=True)
+    group = pair >> 16
+    h = lambda x: x["lo"].astype(U) | x["hi"].astype(U) << U(32)
+    order = np.argsort(h(markers))
+    df = markers["df"][order][np.searchsorted(h(markers)[order], h(local))] if n else np.zeros(0, np.uint16)
+    out = np.empty(len(pair), SHARED)
+    out["lo"], out["hi"], out["row"], out["df"], out["tf"] = local["lo"][group], local["hi"][group], pair & 0xFFFF, df[group], tf
+    return out
 
 
 def weights(df_code: np.ndarray, tf: np.ndarray, log_n: float) -> np.ndarray:
@@ -150,14 +200,15 @@ def _gather(log_n: float, similarity: float):
     """Of one slice: a row per text; terms (of shared shingles, sorted) where the text can have a partner."""
 
     def gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, table = [np.zeros(0, SHARED)], np.zeros(0, ROW)
+        parts, table, kept = [np.zeros(0, SHARED)], np.zeros(0, ROW), bytes(8)
         for batch in batches:
-            for is_row, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for is_row, blob, many in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if is_row:
-                    table = np.frombuffer(blob.as_py(), ROW)
+                    table, kept = np.frombuffer(blob.as_py(), ROW), many.as_py()
                 else:
                     parts.append(np.frombuffer(blob.as_py(), SHARED))
         e = np.concatenate(parts)
+        e = np.concatenate([e[e["row"] != MANY], _spread(e[e["row"] == MANY], kept)])
         h = e["lo"].astype(U) | e["hi"].astype(U) << U(32)
         e = e[np.lexsort((h, e["row"]))]
         w = weights(e["df"], e["tf"].astype(float), log_n)
@@ -251,18 +302,32 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, whole_a: float, whole_b: floa
     return least / max(whole_a + whole_b - least, 1e-12)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, log_n: float, similarity: float) -> DataFrame:
-    """Pairs (a, b) with their similarity, where it is high enough."""
+def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, log_n: float, similarity: float) -> DataFrame:
+    """The pairs (a: leader, b: member) that are similar enough. ``pairs`` has no repeats.
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The members of a leader are dealt to blocks by their bytes, so a leader of many costs a copy per block, and blocks to cells.
+    """
+    pairs = scratch.save(pairs.join(texts.select(F.col("uid").alias("b"), F.octet_length("terms").alias("bytes")), "b"))
+    leaders = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    leaders = scratch.save(leaders.select("a", "n", F.greatest("blocks", F.lit(1)).alias("blocks")))
+    n, size = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    cells = 1 + size // BLOCK_BYTES + 2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = join_by_count(pairs.select("a", "b"), leaders, ["a"], "n", n).select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("uid"))
+    members = dealt.join(texts, "uid").select("a", "block", "uid", "weight", "terms")
+    copies = leaders.select("a", "blocks").join(texts.withColumnRenamed("uid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("uid"), "weight", "terms")
+
+    def verify(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
         for batch in batches:
-            a, b, wa, wb, ta, tb = batch.columns
-            s = np.array([weighted_jaccard(np.frombuffer(x.as_py(), TERM), np.frombuffer(y.as_py(), TERM), u.as_py(), v.as_py(), log_n) for x, y, u, v in zip(ta, tb, wa, wb, strict=True)])
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(s, pa.float64())], ["a", "b", "similarity"]).filter(pa.array(s >= similarity - 1e-9, pa.bool_()))
+            for a, block, uid, weight, terms in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "uid", "weight", "terms")), strict=True):
+                held.setdefault((a, block), []).append((uid != a, uid, weight, np.frombuffer(terms, TERM)))
+        found = []
+        for (a, _), rows in held.items():
+            (_, _, whole, own), *others = sorted(rows, key=lambda r: r[:2])
+            found += [(a, uid) for _, uid, weight, terms in others if weighted_jaccard(own, terms, whole, weight, log_n) >= similarity - 1e-9]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
 
-    left = texts.select(F.col("uid").alias("a"), F.col("weight").alias("wa"), F.col("terms").alias("ta"))
-    right = texts.select(F.col("uid").alias("b"), F.col("weight").alias("wb"), F.col("terms").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb", "ta", "tb").mapInArrow(verify, "a long, b long, similarity double")
+    return members.unionByName(copies).groupBy(F.pmod(F.xxhash64("a", "block"), F.lit(cells)).alias("cell")).applyInArrow(verify, "a long, b long")
 
 
 def similarities(weights_of: np.ndarray, parts: list[np.ndarray], log_n: float, columns: int = 4096) -> np.ndarray:
@@ -331,15 +396,16 @@ def _free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id, n_in_class, kept (true for one row of each class), text_hash."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "neardup")
-    log_n = math.log(max(docs.select(doc_id).count(), 3))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    sent = source.mapInArrow(_send(buckets), "bucket long, slice long, blob binary")
-    counted = sent.groupBy("bucket").applyInArrow(_count, "is_row boolean, slice long, blob binary")
+    scratch = Scratch(spark, "neardup")
+    source = pick(docs, doc_id=doc_id, text=text).select(whole(F.col("doc_id")).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    n_docs, n_bytes = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    log_n = math.log(max(n_docs, 3))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
+    sent = source.mapInArrow(_send(buckets), "bucket long, slice long, blob binary, many binary")
+    counted = sent.groupBy("bucket").applyInArrow(_count, "is_row boolean, slice long, blob binary, many binary")
     gathered = scratch.save(counted.groupBy("slice").applyInArrow(_gather(log_n, similarity), VECTOR))
     del sent, counted
     _free_shuffles(spark)
@@ -351,43 +417,58 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     _free_shuffles(spark)
     members = scratch.save(texts.select("uid", "terms").mapInArrow(_bands(log_n), "band long, uid long").distinct())
 
-    lead = members.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = members.join(lead, "band").where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
-    edges = scratch.save(_verified(pairs, texts, log_n, similarity).select("a", "b"))
+    lead = members.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lead = scratch.save(lead)
+    n_members = members.count()
+    pairs = join_by_count(members, lead, ["band"], "n", n_members).where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
+    edges = scratch.save(_verified(pairs, texts, scratch, log_n, similarity))
     _free_shuffles(spark)
     names = components(edges, scratch)
     named = members.join(names.select(F.col("node").alias("uid"), "root"), "uid", "left").select("band", "uid", F.coalesce("root", "uid").alias("root"))
     sizes = texts.select("uid", F.octet_length("terms").alias("bytes"))
-    mixed = named.join(sizes, "uid").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks")).where("low <> high").select("band", "blocks")
+    mixed = named.join(sizes, "uid").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    mixed = scratch.save(mixed.where("low <> high").select("band", "blocks", "n"))
     block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    dealt = members.join(mixed, "band").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = join_by_count(members, mixed, ["band"], "n", n_members).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "uid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     search = _search(log_n, similarity)
     found = dealt.join(texts, "uid").groupBy("band", "i", "j").applyInArrow(search, "a long, b long")
     edges = scratch.save(edges.unionByName(found).distinct())
     names = components(edges, scratch)
 
-    roots = stands.join(names.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d0", "d1", F.coalesce("root", "rep").alias("root"))
-    marked = rows.where("d0 is not null").join(roots, ["d0", "d1"]).select("uid", "doc_id", "text_hash", "root").unionByName(rows.where("d0 is null").select("uid", "doc_id", "text_hash", F.col("uid").alias("root")))
-    marked = scratch.save(marked)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
-    classes = marked.groupBy("root").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n_in_class"))
-    return marked.join(classes, "root").select("doc_id", F.col("first.doc_id").alias("class_id"), "n_in_class", (F.col("first.uid") == F.col("uid")).alias("kept"), "text_hash")
+    copies = rows.where("d0 is not null").groupBy("d0", "d1").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    roots = stands.join(names.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d0", "d1", F.coalesce("root", "rep").alias("root"))
+    copies = scratch.save(copies.join(roots, ["d0", "d1"]))
+    classes = scratch.save(copies.groupBy("root").agg(F.min("first").alias("class_first"), F.sum("n").alias("n_in_class"), F.count(F.lit(1)).alias("texts")))
+    classed = scratch.save(join_by_count(copies.select("d0", "d1", "n", "root"), classes, ["root"], "texts", copies.count()).select("d0", "d1", "n", "class_first", "n_in_class"))
+    marked = join_by_count(rows.where("d0 is not null"), classed, ["d0", "d1"], "n", n_docs)
+    marked = marked.select("doc_id", F.col("class_first.doc_id").alias("class_id"), "n_in_class", (F.col("class_first.uid") == F.col("uid")).alias("kept"), "text_hash")
+    alone = rows.where("d0 is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_in_class"), F.lit(True).alias("kept"), "text_hash")
+    out = scratch.save(marked.unionByName(alone))
+    scratch.drop_all_but(out)
+    return out
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without all but one row of each class."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    found = near_duplicates(docs, text, doc_id, similarity, scratch)
-    gone = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("kept").cast("long")).alias("_k")).where("_n > _k")
-    gone = scratch.save(gone)
-    n, again = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("_k"), F.lit(0))).first()
-    on = F.col("_id").eqNullSafe(F.col(doc_id).cast("long")) & (F.col("_hash") == F.xxhash64(text))
-    side = F.broadcast(gone) if n <= BROADCAST_ROWS else gone
-    out = docs.join(side.select("_id", "_hash"), on, "left_anti")
+    found = near_duplicates(docs, text, doc_id, similarity)
+    gone = found.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("long")).alias("k")).where("n > k")
+    gone = scratch.save(gone.select("n", "k", F.xxhash64(F.col("id").isNull(), "id", "hash").alias("key")))
+    n, again = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum("k"), F.lit(0))).first()
+    flat = numbered(docs)
+    id_ = whole(F.col(f"_{place(docs, doc_id)}"))
+    keyed = flat.withColumn("key", F.xxhash64(id_.isNull(), id_, F.xxhash64(f"_{place(docs, text)}")))
+    # rows repeated with id and text are hot keys; there are fewer than PARTS of those that are
+    hot = gone.where(F.col("n") > found.count() / PARTS).select("key")
+    small = F.broadcast if n <= BROADCAST_ROWS else lambda t: t
+    rest = keyed.join(F.broadcast(hot), "key", "left_anti")
+    out = rest.join(small(gone.select("key")), "key", "left_anti")
     if again:  # rows repeated with id and text, of which one stays
-        out = out.unionByName(docs.join(side.where("_k > 0").select("_id", "_hash"), on, "left_semi").withColumn("_h", F.xxhash64(text)).dropDuplicates([doc_id, "_h"]).drop("_h"))
-    return out
+        one = gone.where("k > 0").select("key")
+        out = out.unionByName(keyed.join(F.broadcast(hot.join(one, "key")), "key", "left_semi").unionByName(rest.join(small(one), "key", "left_semi")).dropDuplicates(["key"]))
+    return out.drop("key").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
