@@ -1,15 +1,16 @@
 """Operator 9, quality classifier: supervised subword embeddings.
 
-Words, pairs of words and runs of ``CHAR_BYTES`` bytes are hashed to ``2**BITS`` rows of an embedding matrix. A
+Words, pairs of words and runs of 3, 4 and 5 characters inside words are hashed to ``2**BITS`` rows of an embedding matrix. A
 document is the average of its rows; a softmax layer over the average gives the class. Both are trained by stochastic
 gradient descent in numpy on the driver, over at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash of
-their id (a bounded sample; the features of a row are at most ``2**BITS`` numbers). As averaging is linear, the trained
+their id (a bounded sample, cut again after the join, as ids may repeat; the features of a row are at most ``2**BITS`` numbers). As averaging is linear, the trained
 model needs one number per bucket to score: (output weight of class 1 less that of class 0) times the embedding.
 That table goes out by broadcast and every document is scored whole, in one pass without a shuffle.
 
 Defined cases: a null or empty text has no features, its score is that of the bias; null labels are not learnt from;
-an id that repeats in labels gives one example per label; without labelled rows every score is 0.5; other columns of
-documents are ignored.
+an id that repeats gives one example per pair of document and label, within the same bound, and one result per row; ids that aren't whole
+numbers count as null: not learnt from and not held out; without labelled rows every score is 0.5; an empty table gives no rows; very long
+texts are scored whole; other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.columns import pick, whole
 from siltstone.llm import bytescan as bs
 from siltstone.scratch import ready_workers
 
-BITS, DIM, CHAR_BYTES = 17, 16, 4
+BITS, DIM = 17, 16
+RUNS = (3, 4, 5)
 TRAIN_ROWS, EPOCHS, RATE, SEED = 4000, 5, 0.2, 5
-FOLDS, CUT, SAME = 5, 0.3, 0
+FOLDS, CUT = 5, 0.3
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -34,25 +37,21 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def features(s: bs.Scan, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row and bucket of each word, each pair of words and each run of bytes.
-
-    The second word of a pair is written as a back reference if it repeats the first, so all such pairs share ``SAME``.
-    """
+    """Row and bucket of each word, each pair of words, and each run of characters inside a word (of more than the run, else it is the word)."""
     shift = bs.U(64 - bits)
     yield s.doc, (s.hash >> shift).astype(np.int64)
     first, h = s.windows(2)
-    pair = (h >> shift).astype(np.int64)
-    pair[s.hash[first] == s.hash[first + 1]] = SAME
-    yield s.doc[first], pair
-    n = len(s.data) - CHAR_BYTES + 1
-    if n > 0:
-        wide = s.data.astype(np.uint32)
-        run = wide[:n].copy()
-        for k in range(1, CHAR_BYTES):
-            run |= wide[k : n + k] << np.uint32(8 * k)
-        row = np.repeat(np.arange(s.n), np.diff(s.offs))
-        same = row[:n] == row[CHAR_BYTES - 1 :]
-        yield row[:n][same], ((run * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)[same]
+    yield s.doc[first], (h >> shift).astype(np.int64)
+    at = np.flatnonzero(bs.FIRST_BYTE[s.data] & ~bs.SEPARATOR[s.data])  # characters of words; a word's are neighbours
+    word = np.searchsorted(s.starts, at, side="right") - 1
+    ends = np.append(at[1:], 0)
+    last = np.flatnonzero(np.append(word[1:] != word[:-1], True)) if len(at) else np.zeros(0, np.int64)
+    ends[last] = s.ends[word[last]]
+    size = np.bincount(word, minlength=len(s.starts))
+    for n in RUNS:
+        i = np.flatnonzero(word[: len(at) - n + 1] == word[n - 1 :]) if len(at) >= n else np.zeros(0, np.int64)
+        i = i[size[word[i]] > n]
+        yield s.doc[word[i]], (bs.mix(s.span_hash(at[i], ends[i + n - 1]) ^ bs.PLACES[5]) >> shift).astype(np.int64)
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
@@ -87,9 +86,9 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS,
 
 
 def examples(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
-    sample = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)  # bounded by rows, so it may be broadcast
-    picked = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "_y", "_text")
+    known = pick(labels, id=doc_id, y=label).select(whole(F.col("id")).alias("id"), F.col("y").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
+    sample = known.where(~held_out("id")).orderBy(F.xxhash64("id"), "id", "y").limit(rows)  # bounded by rows, so it may be broadcast
+    picked = pick(docs, doc=doc_id, text=text).select(whole(F.col("doc")).alias("id"), "text").join(F.broadcast(sample), "id").select("id", "y", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +100,8 @@ def examples(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
                 blobs = [b.astype(np.uint32).tobytes() for b in np.split(key & 0xFFFFFFFF, cut)], [b.astype(np.uint32).tobytes() for b in np.split(n, cut)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], *[pa.array(b, pa.binary()) for b in blobs]], ["id", "y", "buckets", "n"])
 
-    got = picked.mapInArrow(extract, "id long, y int, buckets binary, n binary").collect()
+    found = picked.mapInArrow(extract, "id long, y int, buckets binary, n binary")
+    got = found.orderBy(F.xxhash64("id"), "id", "y", "buckets", "n").limit(rows).collect()
     got.sort(key=lambda r: (r.id, r.y, bytes(r.buckets), bytes(r.n)))
     return [(np.frombuffer(r.buckets, np.uint32), np.frombuffer(r.n, np.uint32), r.y) for r in got]
 
@@ -126,8 +126,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", d
             p = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    ids = F.col(doc_id).cast("long")
-    return docs.select(ids.alias("doc_id"), F.coalesce(held_out(ids), F.lit(False)).alias("held_out"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    ids = whole(F.col("doc_id"))
+    return pick(docs, doc_id=doc_id, text=text).select(ids.alias("doc_id"), F.coalesce(held_out(ids), F.lit(False)).alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
