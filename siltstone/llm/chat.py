@@ -6,7 +6,7 @@ string. Control strings inside roles and texts are escaped (a backslash after th
 doubled), so the formatted string can be parsed back without doubt, also natively.
 
 Defined cases: a null text or role is empty; turns are ordered by (turn, role, text), null turns first, so repeated
-rows are repeated turns; rows without a conversation id form one conversation with a null id; role orders that the
+rows are repeated turns; very long texts are formatted whole; ids and turns that aren't whole numbers count as null; rows without a conversation id form one conversation with a null id; role orders that the
 machine rejects are still formatted, with ``valid`` false and ``error_turn`` the first rejected place (from 0; the
 number of turns if the end comes too early, which no state forbids by default); an empty table gives no
 rows; columns of other names are ignored.
@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.columns import pick, whole
+
 ESCAPE = "\\"
 
 
@@ -63,8 +65,9 @@ def unescape(x: Column, template: Template) -> Column:
 def format_chats(rows: DataFrame, template: Template | None = None) -> DataFrame:
     """One row per conversation: conv_id, n_turns, valid, error_turn, segments (text, loss), formatted."""
     t = template or Template()
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = pick(rows, conv_id="conv_id", turn="turn", role="role", text="text")
+    turn = F.struct(whole(F.col("turn")).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    chats = rows.groupBy(whole(F.col("conv_id")).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     moves = F.create_map(*[F.lit(x) for (state, role), to in t.moves.items() for x in (f"{state}\n{role}", to)])
     begin = F.struct(F.lit(t.start).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("error"))

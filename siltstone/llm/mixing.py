@@ -13,10 +13,11 @@ Running token sums inside a source are taken over slices of its hash range: sums
 so a source with a third of all rows is spread over ``slices`` tasks. Only single numbers reach the driver; the
 tables of sources stay tables.
 
-Defined cases: tokens are words, one at least per document, so null and empty texts are drawn too; a null source is a
+Defined cases: tokens are words, one at least per document, so null and empty texts are drawn too; very long texts count whole; ids that
+aren't whole numbers count as null; a null source is a
 source of its own; repeated rows are drawn apart in ``mixture`` but share one hash, and so one fate, in ``mix``; an empty
-table gives no rows; a target that no exponent between 0 and 1 meets takes the nearest; other columns are ignored by ``mixture`` and
-kept by ``mix``.
+table gives no rows; a target that no exponent between 0 and 1 meets takes the nearest; an entropy target sets no limit to repetition; other
+columns, of whatever names, are ignored by ``mixture`` and kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.columns import numbered, pick, place, whole
 from siltstone.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -97,7 +99,8 @@ def weights(narrow: DataFrame, target: Target, scratch: Scratch) -> DataFrame:
 
 
 def _narrow(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), tokens(F.col(text)).alias("tokens"), F.xxhash64(text).alias("text_hash"))
+    rows = pick(docs, doc_id=doc_id, text=text, source=source)
+    return rows.select(whole(F.col("doc_id")).alias("doc_id"), F.col("source").cast("string").alias("source"), tokens(F.col("text")).alias("tokens"), F.xxhash64("text").alias("text_hash"))
 
 
 def _draws(narrow: DataFrame, w: DataFrame, target: Target, slices: int, last_pass_only: bool = False) -> DataFrame:
@@ -134,8 +137,8 @@ def mixture(docs: DataFrame, target: Target | None = None, text: str = "text", d
     return rows.select("doc_id", "source", "tokens", "epoch", block.alias("block"), F.xxhash64(F.lit(target.seed + 1), "h").alias("place"), "weight")
 
 
-def mix(docs: DataFrame, target: Target | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture draws it.
+def mix(docs: DataFrame, target: Target | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source", epoch: str | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as the mixture draws it; ``epoch`` names a column to add that numbers a row's copies from 1.
 
     Whole passes need no order. Of a source's last, partial pass only the hash at which its budget ends is needed, so the texts
     themselves are read once more and never shuffled.
@@ -147,12 +150,16 @@ def mix(docs: DataFrame, target: Target | None = None, text: str = "text", doc_i
     ends = _draws(narrow, w, target, _slices(spark), last_pass_only=True).groupBy("source", "epoch").agg(F.max(F.shiftrightunsigned("h", 1)).alias("_end"))
     per = w.where("budget > 0").join(ends.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), F.col("epoch").alias("_last"), "_end")
     per = scratch.save(per)
-    drawn = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    flat = numbered(docs)
+    column = lambda c: F.col(f"_{place(docs, c)}")
+    drawn = F.struct(*flat.columns).alias("_row")
     h = order_hash(F.col("_src"), F.col("_id"), F.col("_hash"), F.col("_last"), target.seed)
-    rows = docs.select(drawn, F.col(source).cast("string").alias("_src"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
+    rows = flat.select(drawn, column(source).cast("string").alias("_src"), whole(column(doc_id)).alias("_id"), F.xxhash64(column(text)).alias("_hash"))
     rows = rows.join(per, F.col("_src").eqNullSafe(F.col("_source")))
     copies = F.col("_last") - 1 + (F.shiftrightunsigned(h, 1) <= F.col("_end")).cast("int")
-    return rows.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")
+    rows = rows.where(copies > 0).select("_row", F.explode(F.sequence(F.lit(1), copies)).alias("_epoch"))
+    out = rows.select("_row.*", *(["_epoch"] if epoch else []))
+    return out.toDF(*docs.columns, *([epoch] if epoch else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

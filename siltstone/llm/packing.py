@@ -21,7 +21,7 @@
 Rounds repeat until all is placed; their number grows with the logarithm of the input. All state is in tables of the shared folder.
 
 Defined cases: a null text is empty and gives the end id alone; an empty table gives no rows; a document id may be
-null or repeat, as each row is packed for itself; a very long text is cut like any other; which of two equally long
+null (as are those that aren't whole numbers) or repeat, as each row is packed for itself; a very long text is cut like any other; which of two equally long
 pieces goes where is arbitrary; other columns are ignored.
 """
 
@@ -40,6 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.columns import pick, whole
 from siltstone.llm import bytescan as bs
 from siltstone.scratch import Scratch
 
@@ -259,7 +260,7 @@ def tokenized_pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, PIECES + (", ids array<int>" if with_ids else ""))
+    return pick(docs, doc_id=doc_id, text=text).select(whole(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(encode, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def decreasing(counts: dict[int, int], capacity: int = CAPACITY, open_gaps: list[tuple[int, int]] = ()) -> dict[str, np.ndarray]:

@@ -12,7 +12,8 @@ Each task sends one array of counts per multinomial, in ``CHUNKS`` pieces that a
 driver and goes out again is the finished table, ``2**bits`` numbers whatever the input's size. Only ids and flags are joined:
 trusted ids are broadcast up to ``BROADCAST_IDS`` rows and joined by a shuffle beyond.
 
-Defined cases: a null or empty text has no words, fails the base rules and scores 0; a null id is never trusted; an
+Defined cases: a null or empty text has no words, fails the base rules and scores 0; a very long text is scanned whole; a null id, or
+one that isn't a whole number, is never trusted; an empty table gives no rows; an
 id that repeats is judged row by row; trusted ids that repeat count once; without trusted rows (or without any rows)
 the target is the raw corpus and every score is 0, so only the base rules decide; other columns of the input are
 ignored by ``quality_scores`` and passed through by ``quality_filter``, whatever their names.
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.columns import numbered, pick, place, whole
 from siltstone.llm import bytescan as bs
 from siltstone.scratch import ready_workers
 
@@ -59,7 +61,7 @@ def counts(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str
     ready_workers(docs.sparkSession)
     if trusted.count() <= BROADCAST_IDS:
         trusted = F.broadcast(trusted)
-    marked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(trusted, F.col("_id") == F.col("_trusted_id"), "left").select("_text", F.col("_trusted_id").isNotNull().alias("_is_trusted"))
+    marked = pick(docs, id=doc_id, text=text).select(whole(F.col("id")).alias("id"), "text").join(trusted, F.col("id") == F.col("_trusted_id"), "left").select("text", F.col("_trusted_id").isNotNull().alias("is_trusted"))
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,19 +142,20 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_
             v = verdicts(*bs.text_bytes(batch.column(1)), table.value, bits, threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v[k]) for k in (*METRICS, "llr", "base_failed", "kept")]], ["doc_id", *METRICS, "llr", "base_failed", "kept"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, SCORES)
+    return pick(docs, doc_id=doc_id, text=text).select(whole(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(score, SCORES)
 
 
 def quality_filter(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns they had."""
     table = docs.sparkSession.sparkContext.broadcast(ratio_table(counts(docs, trusted, text, doc_id, bits)))
-    at = docs.columns.index(text)
+    at = place(docs, text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(verdicts(*bs.text_bytes(batch.column(at)), table.value, bits, threshold)["kept"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    flat = numbered(docs)
+    return flat.mapInArrow(keep, flat.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,51 @@ def test_empty_table(spark):
     assert neardup.keep_one_of_each(df).columns == df.columns
 
 
+@pytest.mark.parametrize("names", ["doc_id long, text string, _id string, _hash string", "doc_id long, text string, _h string, key string", "doc_id long, text string, _0 string, Text string"])
+def test_columns_of_any_name(spark, names):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, "a", "b"), (1, text, "a", "b"), (2, text, "a", "b"), (3, "other words that stand alone in this table", "a", "b"), (4, None, None, None)]
+    df = spark.createDataFrame(rows, names)
+    assert sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 4)]
+    kept = neardup.keep_one_of_each(df)
+    assert kept.columns == df.columns and sorted(r[0] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_ids_that_are_no_numbers_count_as_null(spark):
+    text = "one two three four five six seven eight"
+    df = spark.createDataFrame([("a", text), ("b", text), ("7", text + " nine"), ("c", "something else")], "doc_id string, text string")
+    assert neardup.near_duplicates(df).count() == 4
+    assert neardup.keep_one_of_each(df).where("text like 'one%'").count() in (1, 2)
+
+
+def test_shared_lines_and_hot_groups(spark, monkeypatch):
+    """A passage in all texts, a large group of exact and one of near copies, texts over several slices, and hot keys joined by broadcast."""
+    from siltstone import skew
+
+    monkeypatch.setattr(neardup, "SLICE", 3000)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    line = " ".join(word() for _ in range(12))
+    near = [word() for _ in range(150)]
+    texts = [line + " " + " ".join(word() for _ in range(rng.randint(8, 60))) for _ in range(60)] + [line] * 40
+    for _ in range(40):
+        copy = list(near)
+        copy[rng.randrange(150)] = word()
+        texts.append(" ".join(copy) + " " + line)
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    want = brute(rows)
+    monkeypatch.setattr(skew, "PARTS", 8)
+    got = neardup.near_duplicates(spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA).repartition(3)).collect()
+    first = {}
+    for (i, _), c in zip(rows, want, strict=True):
+        first[c] = min(i, first.get(c, i))
+    assert {r.doc_id: r.class_id for r in got} == {i: first[c] for (i, _), c in zip(rows, want, strict=True)}
+    sizes = Counter(r.class_id for r in got)
+    assert all(r.n_in_class == sizes[r.class_id] for r in got) and sum(r.kept for r in got) == len(sizes)
+
+
 def test_similarities_equal_the_pairwise_function():
     rng = np.random.default_rng(0)
     parts = []
