@@ -21,7 +21,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: personal data are replaced; n_chars follows the text."""
-    return pii.pseudonymize(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.pseudonymize(docs, pii.key_of(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
