@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: tokens of mentions.
 TOKEN = r"[A-Za-z][A-Za-z0-9'\-]*"
 
 
@@ -80,6 +81,16 @@ def percent(x: Column) -> Column:
     return F.concat(F.rint(x * 100).cast("int"), F.lit("%"))
 
 
+def utc_compact(ts: Column) -> Column:
+    """yyyyMMddHHmmss, in the session's time zone (UTC)."""
+    return F.date_format(ts, "yyyyMMddHHmmss")
+
+
+def extra(row: Column, *without: str) -> Column:
+    """A map's entries but for some keys."""
+    return F.map_filter(row, lambda k, v: ~k.isin(*without))
+
+
 def compact_time(x: Column, now: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(x, F.lit("yyyyMMdd'T'HHmmss'Z'")), now)
 

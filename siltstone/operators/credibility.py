@@ -25,11 +25,12 @@ MIN_HISTORY, DOMINANT, MINOR, YOUNG_DAYS = 10, 0.8, 0.2, 180
 
 
 def history(items: DataFrame) -> DataFrame:
-    """(domain, satire, news, other) counts of items (domain, label)."""
-    label = F.lower(F.coalesce("label", F.lit("")))
+    """(domain, satire, news, other) counts of items (domain, label); items without a domain don't count."""
+    label = T.clean_mention(F.coalesce("label", F.lit("")))
     news = label.isin("news", "authentic", "real")
     n = lambda c: F.count_if(c)
-    return items.groupBy(T.normalize_domain(F.col("domain")).alias("domain")).agg(n(label == "satire").alias("satire"), n(news).alias("news"), n((label != "satire") & ~news).alias("other"))
+    named = items.select(T.normalize_domain(F.col("domain")).alias("domain"), "label").where("domain <> ''")
+    return named.groupBy("domain").agg(n(label == "satire").alias("satire"), n(news).alias("news"), n((label != "satire") & ~news).alias("other"))
 
 
 def merge_history(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -41,13 +42,13 @@ def _verdict(category: str, confidence: float, reason: Column) -> Column:
 
 
 def classify(domains: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Adds category, confidence and reasoning to rows (domain, age_days)."""
+    """Adds category, confidence and reasoning to rows (domain, age_days); without a domain they are unknown."""
     if set(KNOWN_SATIRE) & set(KNOWN_NEWS):
         raise ValueError("curated lists overlap")
-    d = F.col("_d")
-    rows = domains.withColumn("_d", T.normalize_domain(F.col("domain")))
+    d, age = F.col("d"), F.col("row.age_days")
+    rows = domains.select(F.struct(*domains.columns).alias("row"), F.coalesce(T.normalize_domain(F.col("domain")), F.lit("")).alias("d"))
     if counts is not None:
-        rows = rows.join(counts.select(F.col("domain").alias("_h"), "satire", "news", "other"), F.col("_h") == d, "left").drop("_h")
+        rows = rows.join(counts.select(F.col("domain").alias("d"), "satire", "news", "other"), "d", "left")
     else:
         rows = rows.withColumns({c: F.lit(None).cast("long") for c in ("satire", "news", "other")})
     needle = F.get(F.filter(F.array(*[F.lit(x) for x in SATIRE_NEEDLES]), lambda x: F.contains(d, x)), 0)
@@ -56,13 +57,14 @@ def classify(domains: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     s, w = (F.when(n > 0, F.col(c) / n).otherwise(0.0) for c in ("satire", "news"))
     seen = n >= MIN_HISTORY
     out = (
-        F.when(d.isin(*KNOWN_SATIRE), _verdict("SATIRE", 1.0, F.lit("curated satire list")))
+        F.when(d == "", _verdict("UNKNOWN", 0.0, F.lit("no domain")))
+        .when(d.isin(*KNOWN_SATIRE), _verdict("SATIRE", 1.0, F.lit("curated satire list")))
         .when(d.isin(*KNOWN_NEWS), _verdict("NEWS", 1.0, F.lit("curated news list")))
         .when(needle.isNotNull(), _verdict("SATIRE", 0.8, F.concat(F.lit("name contains "), needle)))
-        .when(tld.isin(*SUSPICIOUS_TLDS) & (F.col("age_days") < YOUNG_DAYS), _verdict("MIXED", 0.7, F.concat(F.lit("young domain under ."), tld)))
+        .when(tld.isin(*SUSPICIOUS_TLDS) & (age < YOUNG_DAYS), _verdict("MIXED", 0.7, F.concat(F.lit("young domain under ."), tld)))
         .when(seen & (s >= DOMINANT), _verdict("SATIRE", 0.85, F.concat(T.percent(s), F.lit(" satire"))))
         .when(seen & (w >= DOMINANT), _verdict("NEWS", 0.85, F.concat(T.percent(w), F.lit(" news"))))
         .when(seen & (s >= MINOR) & (w >= MINOR), _verdict("MIXED", 0.6, F.concat(T.percent(s), F.lit(" satire, "), T.percent(w), F.lit(" news"))))
         .otherwise(_verdict("UNKNOWN", 0.0, F.lit("no match")))
     )
-    return rows.withColumn("_v", out).select(*domains.columns, "_v.*")
+    return rows.select("row.*", out.alias("verdict")).select(*domains.columns, "verdict.*")

@@ -68,6 +68,11 @@ def requeue(affected_contents: DataFrame, records: DataFrame, shift: float = 0.1
     return j.where(F.col("moved").isNull() | (F.col("moved") >= shift)).select("content_id").distinct()
 
 
+def snapshot_edges(edges: DataFrame) -> DataFrame:
+    """Edges once each, sorted by source, target and type."""
+    return edges.select("src", "dst", "type").distinct().orderBy("src", "dst", "type")
+
+
 def populate(items: DataFrame, mentions: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges of new contents, and pending mentions with all entities resolved in their document.
 

@@ -6,43 +6,86 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import vectors as V
-from siltstone.scratch import ready_workers
+from siltstone.scratch import Scratch, ready_workers
 
-#: Bytes of queries that may be broadcast; beyond, pairs are made by a theta join.
-BROADCAST_BYTES = 64 << 20
+#: Rows of a block of vectors, and of queries that meet a block at once.
+BLOCK, QUERY_BLOCK = 4096, 512
+TASKS = 2
+PACKED = "dim int, ids binary, vectors binary"
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    """(id, embedding) of rows whose vector is there, of one number at least and without nulls."""
+    return rows.select("id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
+
+
+def packed(rows: DataFrame, size: int) -> DataFrame:
+    """Vectors as blocks of rows of one length: ids and components as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, column = batch.column(0).to_numpy(), batch.column(1)
+            offsets = column.offsets.to_numpy()
+            values, lengths = column.values.to_numpy(), np.diff(offsets)
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                for i in range(0, len(at), size):
+                    some = at[i : i + size]
+                    v = values[offsets[some][:, None] + np.arange(n)]
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([ids[some].tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["dim", "ids", "vectors"])
+
+    return usable(rows).mapInArrow(pack, PACKED)
+
+
+def block_pairs(queries: DataFrame, base: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each block of queries with each block of the base of its length, on a grid of cells whose sides keep the copies few."""
+    spark = base.sparkSession
+    asked = scratch.save(packed(queries, QUERY_BLOCK))
+    tasks, asking, blocks = TASKS * int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, asked.count()), 1 + base.count() // BLOCK
+    high = min(tasks, blocks, max(1, round((tasks * blocks / asking) ** 0.5)))
+    wide = min(asking, -(-tasks // high))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    right = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), cell("ids", wide).alias("q_column"), every(high).alias("q_row"))
+    left = packed(base, BLOCK).withColumn("row", cell("ids", high)).withColumn("column", every(wide))
+    on = (F.col("row") == F.col("q_row")) & (F.col("column") == F.col("q_column")) & (F.col("dim") == F.col("q_dim"))
+    return left.join(right, on).select("dim", "q_ids", "q", "ids", "vectors")
+
+
+def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    for dim, q_ids, q, ids, v in zip(*batch.columns, strict=True):
+        n = dim.as_py()
+        yield np.frombuffer(q_ids.as_py(), np.int64), np.frombuffer(q.as_py()).reshape(-1, n), np.frombuffer(ids.as_py(), np.int64), np.frombuffer(v.as_py()).reshape(-1, n)
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, node_id, distance, rank): squared L2, ties to the smaller node. Both: (id, embedding).
+    """(query_id, node_id, distance, rank): squared L2, ties to the smaller node. Both: (id: long, embedding).
 
-    Queries are broadcast if their number is checked to be small; each partition of the base keeps its own best k per query.
+    Blocks of queries meet blocks of the base of their length; each pair keeps its own best k per query. Vectors that are null, empty
+    or hold nulls take no part. A product of matrices finds the rows that may be among the best, whose distances are then summed exactly.
     """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q, ids, v in _arrays(batch):
+                rough = (v**2).sum(axis=1)[None, :] - 2 * (q @ v.T) + (q**2).sum(axis=1)[:, None]
+                slack = 1e-9 * (1 + (v**2).sum(axis=1).max() + (q**2).sum(axis=1).max())
+                limit = (np.partition(rough, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(q), np.inf)) + slack
+                at, row = np.nonzero(rough <= limit[:, None])
+                d = ((v[row] - q[at]) ** 2).sum(axis=1)
+                order = np.lexsort((ids[row], d, at))
+                at, row, d = at[order], row[order], d[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                best = place < k
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at[best]]), pa.array(ids[row[best]]), pa.array(d[best])], ["query_id", "node_id", "distance"])
+
     ready_workers(base.sparkSession)
-    dim, n = queries.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
-    if n and n * dim * 8 <= BROADCAST_BYTES:
-        rows = queries.select("id", "embedding").collect()
-        held = base.sparkSession.sparkContext.broadcast((np.array([r.id for r in rows]), np.array([r.embedding for r in rows], np.float64)))
-
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
-            for pdf in batches:
-                if len(pdf):
-                    x, own = np.array(pdf.embedding.tolist(), np.float64), pdf.id.to_numpy()
-                    order = np.argsort(own, kind="stable")
-                    x, own = x[order], own[order]
-                    for i in range(0, len(ids), 256):
-                        d = np.stack([((x - v) ** 2).sum(axis=1) for v in q[i : i + 256]])
-                        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-                        yield pd.DataFrame({"query_id": np.repeat(ids[i : i + 256], at.shape[1]), "node_id": own[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()})
-
-        found = base.select("id", "embedding").mapInPandas(local, "query_id long, node_id long, distance double")
-    else:
-        q, b = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), base.select(F.col("id").alias("node_id"), F.col("embedding").alias("e"))
-        found = q.join(b, F.size("q") == F.size("e")).select("query_id", "node_id", V.squared_distance(F.col("q"), F.col("e")).alias("distance"))
+    found = block_pairs(queries, base, Scratch(base.sparkSession, "nearest")).mapInArrow(local, "query_id long, node_id long, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "node_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -109,8 +152,22 @@ def drift(train: DataFrame, live: DataFrame, embedding: str = "embedding", minim
 
 
 def contradictions(rows: DataFrame, low: float = 0.4, high: float = 0.7, middle: float = 0.55) -> DataFrame:
-    """(id, other, cosine): the other row whose cosine is in [low, high] and nearest to ``middle``; rows: (id, embedding)."""
-    a, b = (rows.select(F.col("id").alias(i), F.col("embedding").alias(e)) for i, e in (("id", "e"), ("other", "f")))
-    c = V.dot(F.col("e"), F.col("f")) / ((V.norm(F.col("e")) + 1e-8) * (V.norm(F.col("f")) + 1e-8))
-    pairs = a.join(b, F.col("id") != F.col("other")).select("id", "other", c.alias("cosine")).where(F.col("cosine").between(low, high))
-    return pairs.groupBy("id").agg(F.min_by(F.struct("other", "cosine"), F.struct(F.abs(F.col("cosine") - middle), "other")).alias("m")).select("id", "m.*")
+    """(id, other, cosine): the other row whose cosine is in [low, high] and nearest to ``middle``; rows: (id: long, embedding).
+
+    Blocks of rows meet blocks of rows; each pair gives one candidate per row at most.
+    """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q, ids, v in _arrays(batch):
+                order = np.argsort(ids, kind="stable")
+                ids, v = ids[order], v[order]
+                cosine = (q @ v.T) / ((np.linalg.norm(q, axis=1)[:, None] + 1e-8) * (np.linalg.norm(v, axis=1)[None, :] + 1e-8))
+                gap = np.where((cosine >= low) & (cosine <= high) & (q_ids[:, None] != ids[None, :]), np.abs(cosine - middle), np.inf)
+                at = gap.argmin(axis=1)  # the first of equals has the smallest id
+                hit = np.flatnonzero(np.isfinite(gap[np.arange(len(q)), at]))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[hit]), pa.array(ids[at[hit]]), pa.array(cosine[hit, at[hit]])], ["id", "other", "cosine"])
+
+    ready_workers(rows.sparkSession)
+    found = block_pairs(rows, rows, Scratch(rows.sparkSession, "contradictions")).mapInArrow(local, "id long, other long, cosine double")
+    return found.groupBy("id").agg(F.min_by(F.struct("other", "cosine"), F.struct(F.abs(F.col("cosine") - middle), "other")).alias("m")).select("id", "m.*")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import vectors as V
+from siltstone.ranks import running_sum
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -31,8 +32,7 @@ def summary(rows: DataFrame, classes: int) -> DataFrame:
 def auroc(rows: DataFrame) -> DataFrame:
     """Of rows (score, positive: boolean): Mann-Whitney by average ranks; 0.5 if a class is absent. Ranks run over distinct scores."""
     s = rows.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    u = s.withColumn("w", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2))
+    u = running_sum(s, "score", "n", "below").withColumn("w", F.col("p") * (F.col("below") + F.col("n") / 2))
     return u.agg(F.when((F.sum("p") > 0) & (F.sum("n") > 0), F.try_divide(F.sum("w"), F.sum("p") * F.sum("n"))).otherwise(0.5).alias("auroc"))
 
 
@@ -48,11 +48,18 @@ def calibration_gap(rows: DataFrame) -> DataFrame:
 
 
 def gate_stats(rows: DataFrame) -> DataFrame:
-    """Per class of rows (target, gate: array): mean and population variance of all elements."""
+    """Per class of rows (target, gate: array): mean and population variance of all elements, and their number."""
     e = rows.select("target", F.explode("gate").alias("g"))
     return e.groupBy("target").agg(F.avg("g").alias("mean"), F.var_pop("g").alias("variance"), F.count(F.lit(1)).alias("n"))
 
 
+def gate_overall(rows: DataFrame) -> DataFrame:
+    """Of all rows (gate: array): the mean of all elements, and the population variance of the rows' means (0 for one row or none)."""
+    r = rows.where(F.size("gate") > 0).select(V.total(F.transform("gate", lambda x: x.cast("double"))).alias("s"), F.size("gate").alias("k"))
+    mean = ratio(F.sum("s"), F.sum("k").cast("double"))
+    return r.agg(mean.alias("mean"), F.when(F.count(F.lit(1)) > 1, F.var_pop(F.col("s") / F.col("k"))).otherwise(0.0).alias("variance"), F.count(F.lit(1)).alias("n"))
+
+
 def attention_entropy(rows: DataFrame) -> DataFrame:
     """Of rows (p: array): mean, least and most entropy, mean normalised entropy, part below 0.3."""
     k = F.size("p")
@@ -74,3 +81,31 @@ def symmetric_kl(p: Column, q: Column, scale: float = 0.1) -> Column:
     """Row mean of KL(p, q) + KL(q, p), scaled."""
     terms = F.zip_with(p, q, lambda a, b: (a - b) * (F.log(F.greatest(a, F.lit(1e-12))) - F.log(F.greatest(b, F.lit(1e-12)))))
     return F.avg(V.total(terms)) * F.lit(scale)
+
+
+def two_gates(t_gate: Column, v_gate: Column) -> Column:
+    """Half the sum of the two gates' means per row."""
+    mean = lambda g: V.total(F.transform(g, lambda x: x.cast("double"))) / F.size(g)
+    return 0.5 * (mean(t_gate) + mean(v_gate))
+
+
+def phased_loss(rows: DataFrame, phase: int, class_weights: list[float], gate_targets: list[float], gamma: float = 2.0, scale: float = 0.1, gate_weight: float = 1.0) -> DataFrame:
+    """One row (phase, loss) over rows (target, probs, and for later phases t_gate, v_gate; alt_probs).
+
+    Phase 1 is cross-entropy weighted by class, 2 focal loss and the gates' loss, 3 that and consistency with another snapshot.
+    """
+    needed = {1: (), 2: ("t_gate", "v_gate"), 3: ("t_gate", "v_gate", "alt_probs")}
+    if phase not in needed:
+        raise ValueError(f"unknown phase {phase}")
+    missing = [c for c in needed[phase] if c not in rows.columns]
+    if missing:
+        raise ValueError(f"phase {phase} needs {', '.join(missing)}")
+    of_class = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("target") + 1)
+    p, w = F.element_at("probs", F.col("target") + 1), of_class(class_weights)
+    if phase == 1:
+        loss = F.sum(-F.log(p) * w) / F.sum(w)
+    else:
+        loss = focal(p, w, gamma) + gate_weight * gate_bce(two_gates(F.col("t_gate"), F.col("v_gate")), of_class(gate_targets))
+        if phase == 3:
+            loss = loss + symmetric_kl(F.col("probs"), F.col("alt_probs"), scale)
+    return rows.agg(F.lit(phase).alias("phase"), loss.alias("loss"))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.functions import vectors as V
 
+# Prefix length, candidates per prefix, and thresholds.
 PREFIX, BUCKET, ACCEPT = 3, 50, 0.92
 MERGE, REVIEW = 0.85, 0.65
+#: Tasks that a hot prefix is dealt to.
+SALTS = 16
 #: Planes of the signature block, for embeddings of 64 numbers; others need planes of their own length.
 SIGNATURES = V.gauss_planes(64)
 GRAPH_WEIGHT = {"exact": 1.0, "high": 0.85, "provisional": 0.5, "unresolved": 0.0}
@@ -32,10 +35,14 @@ def exact_lookup(mentions: DataFrame, aliases: DataFrame, stripped: bool = False
 def fuzzy_lookup(mentions: DataFrame, aliases: DataFrame, bucket: int = BUCKET, accept: float = ACCEPT) -> DataFrame:
     """(mention_id, entity_id, score): best alias among the first ``bucket`` with the mention's prefix, first wins ties."""
     first = aliases.groupBy("alias", "entity_id").agg(F.min("seq").alias("seq")).withColumn("prefix", F.substring("alias", 1, PREFIX))
-    order = Window.partitionBy("prefix").orderBy("seq")
-    first = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= bucket)
-    clean = mentions.select("mention_id", T.clean_mention(F.col("mention")).alias("m")).withColumn("prefix", F.substring("m", 1, PREFIX))
-    scored = clean.join(first, "prefix").withColumn("score", T.similarity(F.col("m"), F.col("alias")))
+    salted = first.withColumn("salt", F.pmod(F.xxhash64("alias", "entity_id"), F.lit(SALTS)))
+    for keys in (["prefix", "salt"], ["prefix"]):  # a hot prefix is cut per salt first, so no task sorts all its aliases
+        salted = salted.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))).where(F.col("n") <= bucket)
+    # a row per prefix holds its aliases, so that a hot prefix of mentions can be dealt over tasks by the copies below
+    lists = salted.groupBy("prefix").agg(F.collect_list(F.struct("alias", "entity_id", "n")).alias("found"))
+    lists = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    clean = mentions.select("mention_id", T.clean_mention(F.col("mention")).alias("m")).withColumn("prefix", F.substring("m", 1, PREFIX)).withColumn("part", F.pmod(F.xxhash64("mention_id", "m"), F.lit(SALTS)).cast("int"))
+    scored = clean.join(lists, ["prefix", "part"]).select("mention_id", "m", F.explode("found").alias("f")).select("mention_id", "m", "f.*").withColumn("score", T.similarity(F.col("m"), F.col("alias")))
     best = scored.groupBy("mention_id").agg(F.max_by(F.struct("entity_id", "score"), F.struct("score", -F.col("n"))).alias("best"))
     best = best.where(F.col("best.score") >= accept).select("mention_id", "best.*")
     return mentions.select("mention_id").join(best, "mention_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -31,7 +31,8 @@ def gate(rows: DataFrame) -> DataFrame:
         .when(drift >= 0.5, verdict("hold", "drift warning"))
         .otherwise(verdict("promote", "ready"))
     )
-    return rows.withColumn("_v", v).select(*rows.columns, "_v.*", F.when(F.col("_v.action") == "promote", nxt).when(F.col("_v.action") == "rollback", "rolled_back").otherwise(F.col("state")).alias("next_state"))
+    out = rows.select(*rows.columns, v.alias("verdict")).select(*rows.columns, "verdict.*")
+    return out.withColumn("next_state", F.when(F.col("action") == "promote", nxt).when(F.col("action") == "rollback", "rolled_back").otherwise(F.col("state")))
 
 
 def agreement(a_label: Column, b_label: Column, a_score: Column, b_score: Column) -> Column:
@@ -67,6 +68,44 @@ def transitions(events: DataFrame) -> DataFrame:
     return events.withColumn("left_at", left).withColumn("hours", (F.unix_timestamp(left) - F.unix_timestamp("ts")) / 3600.0)
 
 
+def transition_log(steps: DataFrame) -> DataFrame:
+    """(version, state, entered_at, pending): each deployment as its log tells. steps: (version, seq, ts, target, status: begin or complete).
+
+    A transition is written before it is made: the state is the target of the last completed one (shadow if there is none), and one that
+    was begun since is pending.
+    """
+    last = lambda status: F.max(F.when(F.col("status") == status, F.struct("seq", "ts", "target")))
+    s = steps.groupBy("version").agg(last("begin").alias("b"), last("complete").alias("c"))
+    open_ = F.col("b").isNotNull() & (F.col("c").isNull() | (F.col("b.seq") > F.col("c.seq")))
+    return s.select("version", F.coalesce("c.target", F.lit("shadow")).alias("state"), F.col("c.ts").alias("entered_at"), F.when(open_, F.col("b.target")).alias("pending"))
+
+
+CRITICAL, WARNING = 0.75, 0.5
+
+
+def compatibility(pairs: DataFrame, models: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(model, context, compatible, severity, reason) of pairs (model, context). An unknown version is an error.
+
+    models: (model, allowed); contexts: (context, gnn, score): the drift between the model's training and the context. The allow-list comes first.
+    """
+    known = lambda c, found: F.when(found.isNotNull(), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"unknown {c} "), F.coalesce(F.col(c).cast("string"), F.lit("null")))))
+    j = pairs.select("model", "context").join(models.select("model", "allowed"), "model", "left").join(contexts.select("context", "gnn", "score"), "context", "left")
+    fits = F.array_contains("allowed", F.col("gnn"))
+    severity = F.when(~fits | (F.col("score") >= CRITICAL), "critical").when(F.col("score") >= WARNING, "warning").otherwise("healthy")
+    reason = F.when(~fits, F.concat(F.lit("architecture "), F.col("gnn").cast("string"), F.lit(" isn't allowed"))).otherwise(F.concat(F.lit("drift "), F.format_string("%.3f", F.col("score"))))
+    return j.select(known("model", F.col("allowed")).alias("model"), known("context", F.col("gnn")).alias("context"), (severity != "critical").alias("compatible"), severity.alias("severity"), reason.alias("reason"))
+
+
+# Modules that a phase trains, and its learning rate.
+OPTIMIZERS = ((1, ("projections",), 1e-3), (2, ("projections", "cross_attention", "reasoning", "modality_dropout"), 5e-4), (3, ("all",), 1e-4))
+
+
+def optimizer_configs(phases_: DataFrame) -> DataFrame:
+    """Adds the modules that are trained and the learning rate to rows (phase)."""
+    table = phases_.sparkSession.createDataFrame([(p, list(m), r) for p, m, r in OPTIMIZERS], "phase int, unfrozen_modules array<string>, learning_rate double")
+    return phases_.join(F.broadcast(table), "phase")
+
+
 def compatible(models: DataFrame, contexts: DataFrame) -> DataFrame:
     """(model, context, status): allowed architectures, then drift. models: (model, allowed); contexts: (context, gnn, score, seq)."""
     j = models.join(contexts, F.array_contains("allowed", F.col("gnn")), "left")
@@ -128,23 +167,47 @@ def phases(epochs: DataFrame, patience: int = 3, margin: float = 1e-6) -> DataFr
 
 
 def track_sync(events: DataFrame) -> DataFrame:
-    """Ordered fold per track over (track, seq, kind, version, gnn, allowed): promoted models and newest fitting contexts.
+    """Per line of events (track, seq, kind, version, gnn, allowed), in order: the active model and context, and the architectures pruned.
 
-    A model event keeps the track's context if it still fits, else takes the newest that does, else parks the track.
+    A context replaces the one parked for its architecture, and is deployed if the active model allows it. A promoted model takes the newest
+    registered context that it allows, or none, and the parked ones it doesn't allow go. A worker holds one entry per architecture.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, allowed, context, known, out = None, [], None, [], []
-        for r in pdf.sort_values("seq").itertuples():
-            if r.kind == "context":
-                known.append((r.version, r.gnn))
-                if model is not None and r.gnn in allowed:
-                    context = r.version
-            else:
-                model, allowed = r.version, list(r.allowed if r.allowed is not None else [])
-                fits = [v for v, g in known if g in allowed]
-                context = context if context in fits else (fits[-1] if fits else None)
-            out.append((r.track, r.seq, model, context, "none" if model is None else "parked" if context is None else "deployed"))
-        return pd.DataFrame(out, columns=["track", "seq", "model", "context", "status"])
-
-    return events.groupBy("track").applyInPandas(fold, "track string, seq long, model string, context string, status string")
+    def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, allowed, context = None, [], None
+        newest: dict[str, tuple[int, str]] = {}
+        parked: set[str] = set()
+        for pdf in batches:
+            out = []
+            for r in zip(*(pdf[c] for c in ("seq", "kind", "version", "gnn", "allowed")), strict=True):
+                seq, kind, version, gnn, own = r
+                pruned: list[str] = []
+                if kind == "context":
+                    newest[gnn] = (seq, version)
+                    parked.add(gnn)
+                    if model is not None and gnn in allowed:
+                        context = version
+                else:
+                    model, allowed = version, list(own if own is not None else [])
+                    context = max((newest[g] for g in allowed if g in newest), default=(0, None))[1]
+                    pruned = sorted(parked - set(allowed))
+                    parked &= set(allowed)
+                out.append((key[0], seq, model, context, "none" if model is None else "parked" if context is None else "deployed", ",".join(pruned)))
+            yield pd.DataFrame(out, columns=["track", "seq", "model", "context", "status", "pruned"])
+
+    return events.groupBy("track").applyInPandas(_sorted(fold, "seq"), "track string, seq long, model string, context string, status string, pruned string")
+
+
+def _sorted(fold, order: str):
+    """A fold over one key's rows in order, in pieces."""
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pd.concat(list(fold(key, (pdf.iloc[i : i + 10_000] for i in range(0, len(pdf), 10_000)))), ignore_index=True)
+
+    return work
+
+
+def pruned_tracks(tracks: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Tracks (gnn, context) whose architecture isn't allowed (gnn)."""
+    return tracks.join(allowed.select("gnn").distinct(), "gnn", "left_anti")

@@ -10,6 +10,8 @@ from siltstone.operators import resolve
 from siltstone.plans.tables import Tables, registry
 
 QUERIES, ORACLES, query = registry()
+#: Texts of fewer files than this are dealt out first.
+SMALL = 8
 
 GRAMS = r"""toks AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''\-]*') AS t FROM documents),
 grams AS (SELECT doc_id, unnest(flatten(list_transform(range(1, 4), lambda n: list_transform(range(0, greatest(len(t) - n + 1, 0)), lambda i: array_to_string(t[i + 1 : i + n], ' '))))) AS g FROM toks)"""
@@ -18,10 +20,8 @@ alias AS (SELECT alias, max(item_id) AS entity_id FROM items WHERE alias <> '' G
 
 
 def _grams(t: Tables):
-    """(doc_id, gram) of runs of 1 to 3 tokens. Texts that lie in fewer parts than there are cores are dealt out first."""
-    docs, cores = t.documents.select("doc_id", "text"), t.spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        docs = docs.repartition(cores)
+    """(doc_id, gram) of runs of 1 to 3 tokens. Texts that lie in few files are dealt out first."""
+    docs = t.documents.select("doc_id", "text").repartition(t.spark.sparkContext.defaultParallelism) if t.size("documents") < SMALL else t.documents.select("doc_id", "text")
     return docs.select("doc_id", T.tokens(F.col("text")).alias("toks")).select("doc_id", F.explode(T.ngrams(F.col("toks"))).alias("gram"))
 
 
@@ -67,10 +67,20 @@ def _mentions(t: Tables):
     return m, e
 
 
-ER = """
-WITH e AS (SELECT c_custkey AS entity_id, 'client ' || c_custkey AS n1, lower(c_name) AS n2, c_mktsegment AS et, embedding AS ee FROM customer LEFT JOIN embeddings ON c_custkey = vec_id + 1),
+def _planes_sql(planes: list[list[float]], op: str, join: str) -> str:
+    return join.join(f"CASE WHEN list_inner_product(embedding::DOUBLE[], [{', '.join(map(repr, p))}]::DOUBLE[]) {op} 0 THEN {{{i}}} ELSE {{z}} END" for i, p in enumerate(planes))
+
+
+SIGNATURES = V.gauss_planes(64)
+BUCKETS = V.normal_planes(64)
+
+
+SIGNED = "sg AS (SELECT vec_id + 1 AS id, " + _planes_sql(SIGNATURES, ">=", " || ").format(*["'1'"] * 8, z="'0'") + " AS k FROM embeddings)"
+ER = "WITH " + SIGNED + """,
+e AS (SELECT c_custkey AS entity_id, 'client ' || c_custkey AS n1, lower(c_name) AS n2, c_mktsegment AS et, embedding AS ee FROM customer LEFT JOIN embeddings ON c_custkey = vec_id + 1),
 m AS (SELECT s_suppkey AS mention_id, lower('Customer#' || lpad(s_suppkey::VARCHAR, 9, '0')) AS mt, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS ty, [s_suppkey + 1, s_suppkey + 2] AS cooc, embedding AS me FROM supplier LEFT JOIN embeddings ON s_suppkey = vec_id + 1),
-c AS (SELECT mention_id, entity_id FROM m JOIN e ON mt = n2 OR mt = 'client' UNION SELECT mention_id, unnest(cooc) FROM m),
+c AS (SELECT mention_id, entity_id FROM m JOIN e ON mt = n2 OR mt = 'client' UNION SELECT mention_id, unnest(cooc) FROM m
+  UNION SELECT mention_id, entity_id FROM m JOIN sg x ON x.id = mention_id JOIN sg y ON x.k = y.k JOIN e ON y.id = entity_id),
 s AS (SELECT mention_id, entity_id,
   round(0.4 * coalesce(list_cosine_similarity(me::DOUBLE[], ee::DOUBLE[]), 0) + 0.25 * greatest(1 - levenshtein(mt, n1) / greatest(length(mt), length(n1))::DOUBLE, 1 - levenshtein(mt, n2) / greatest(length(mt), length(n2))::DOUBLE)
   + 0.2 * list_contains(cooc, entity_id)::INT + 0.15 * (ty = et)::INT, 12) AS score FROM c JOIN e USING (entity_id) JOIN m USING (mention_id)),
@@ -81,22 +91,13 @@ b AS (SELECT mention_id, arg_min(entity_id, (-score, entity_id)) AS best, max(sc
 @query(ER + """SELECT mention_id, CASE WHEN score >= 0.65 THEN best END AS entity_id, round(coalesce(score, 0), 6) AS score,
 CASE WHEN score >= 0.85 THEN 'merge' WHEN score >= 0.65 THEN 'review' ELSE 'create' END AS action FROM m LEFT JOIN b USING (mention_id)""")
 def blocked_resolution(t: Tables):
-    """By all three blocks. The SQL has no signature block; its results are the same on sf0.001, sf0.01 and sf0.1."""
+    """By all three blocks: first token, signature and co-occurrence."""
     return resolve.resolve(*_mentions(t), planes=SIGNATURES).withColumn("score", F.round("score", 6))
 
 
 @query(ER + "SELECT (SELECT count(*) FROM m) * (SELECT count(*) FROM e) AS naive, (SELECT count(*) FROM c) AS blocked")
 def blocking_savings(t: Tables):
-    """Counts the two blocks of its SQL, first token and co-occurrence; signatures are left out."""
-    return resolve.blocking_savings(*_mentions(t), planes=[])
-
-
-def _planes_sql(planes: list[list[float]], op: str, join: str) -> str:
-    return join.join(f"CASE WHEN list_inner_product(embedding::DOUBLE[], [{', '.join(map(repr, p))}]::DOUBLE[]) {op} 0 THEN {{{i}}} ELSE {{z}} END" for i, p in enumerate(planes))
-
-
-SIGNATURES = V.gauss_planes(64)
-BUCKETS = V.normal_planes(64)
+    return resolve.blocking_savings(*_mentions(t), planes=SIGNATURES)
 
 
 @query(f"SELECT signature, count(*) AS n, min(vec_id) AS first FROM (SELECT vec_id, {_planes_sql(SIGNATURES, '>=', ' || ').format(*["'1'"] * 8, z="'0'")} AS signature FROM embeddings) GROUP BY signature")

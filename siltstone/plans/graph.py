@@ -90,10 +90,11 @@ def review_priority(t: Tables):
 @query("""WITH RECURSIVE i AS (SELECT s_suppkey AS id, s_nationkey AS top, [lower(x) FOR x IN string_split(s_name || ' of ' || (s_suppkey % 7), ' ')] AS w, (s_suppkey % 13) / 13.0 AS p FROM supplier),
 l AS (SELECT a.id AS a, b.id AS b FROM i a JOIN i b ON a.top = b.top OR len(list_intersect(a.w, b.w)) >= 0.6 * len(list_distinct(list_concat(a.w, b.w)))),
 r(id, root) AS (SELECT id, id FROM i UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE l.b <> r.id), c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
-SELECT arg_min(id, (-p, id)) AS representative, count(*) AS n, round(sum(p) + 0.05 * ln(count(*)), 6) AS aggregate_priority FROM c JOIN i USING (id) GROUP BY root""")
+SELECT 'cluster:' || substr(sha1(array_to_string(list_sort(list(id::VARCHAR)), '|')), 1, 12) AS cluster_id, arg_min(id, (-p, id)) AS representative, count(*) AS n, array_to_string(list(id ORDER BY -p, id), ',') AS members, round(sum(p) + 0.05 * ln(count(*)), 6) AS aggregate_priority FROM c JOIN i USING (id) GROUP BY root""")
 def review_clusters(t: Tables):
     i = t.supplier.select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit(" of "), (F.col("s_suppkey") % 7).cast("string")).alias("mention"), F.col("s_nationkey").alias("top"), (F.col("s_suppkey") % 13 / 13.0).alias("priority"))
-    return review.clusters(i).select("representative", F.size("members").cast("long").alias("n"), F.round("aggregate_priority", 6).alias("aggregate_priority"))
+    members = F.array_join(F.transform("members", lambda x: x.cast("string")), ",")
+    return review.clusters(i).select("cluster_id", "representative", F.size("members").cast("long").alias("n"), members.alias("members"), F.round("aggregate_priority", 6).alias("aggregate_priority"))
 
 
 @query("SELECT event_id FROM events WHERE ts + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) AND event_id % 2 = 0 OR event_id % 2 = 1 AND ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")

@@ -56,15 +56,21 @@ def content_history(t: Tables):
     return credibility.history(_items(t))
 
 
-@query(f"""WITH {HISTORY}, d AS (SELECT domain FROM h UNION ALL SELECT unnest(['https://www.TheOnion.com/x', 'bbc.co.uk:80', 'dailysatire.com', 'cheap.xyz', 'old.xyz', 'plain.org']))
-SELECT d.domain, CASE WHEN d.domain LIKE '%TheOnion%' THEN 'SATIRE' WHEN d.domain LIKE 'bbc%' THEN 'NEWS' WHEN d.domain LIKE '%satire%' THEN 'SATIRE' WHEN d.domain = 'cheap.xyz' THEN 'MIXED'
-WHEN satire + news + other >= 10 AND satire >= 0.8 * (satire + news + other) THEN 'SATIRE' WHEN satire + news + other >= 10 AND news / (satire + news + other) >= 0.8 THEN 'NEWS'
-WHEN satire + news + other >= 10 AND satire / (satire + news + other) >= 0.2 AND news / (satire + news + other) >= 0.2 THEN 'MIXED' ELSE 'UNKNOWN' END AS category FROM d LEFT JOIN h ON d.domain = h.domain""")
+@query(f"""WITH {HISTORY}, q AS (SELECT * FROM h UNION ALL VALUES ('quiet.example.net', 12, 0, 0)),
+d AS (SELECT domain FROM h UNION ALL SELECT unnest(['https://www.TheOnion.com/x', 'bbc.co.uk:80', 'dailysatire.com', 'cheap.xyz', 'old.xyz', 'plain.org', 'QUIET.example.net', '', ' https:///x', NULL])),
+x AS (SELECT d.domain, lower(d.domain) AS n, satire, news, satire + news + other AS total FROM d LEFT JOIN q ON lower(d.domain) = q.domain),
+y AS (SELECT *, total >= 10 AS seen, satire / total::DOUBLE AS s, news / total::DOUBLE AS w FROM x),
+z AS (SELECT domain, CASE WHEN n IS NULL OR n = '' OR n LIKE ' http%' THEN ['UNKNOWN', '0.0', 'no domain'] WHEN n LIKE '%theonion%' THEN ['SATIRE', '1.0', 'curated satire list'] WHEN n LIKE 'bbc%' THEN ['NEWS', '1.0', 'curated news list']
+WHEN n LIKE '%satire%' THEN ['SATIRE', '0.8', 'name contains satire'] WHEN n = 'cheap.xyz' THEN ['MIXED', '0.7', 'young domain under .xyz'] WHEN seen AND s >= 0.8 THEN ['SATIRE', '0.85', round_even(s * 100, 0)::INT || '% satire']
+WHEN seen AND w >= 0.8 THEN ['NEWS', '0.85', round_even(w * 100, 0)::INT || '% news'] WHEN seen AND s >= 0.2 AND w >= 0.2 THEN ['MIXED', '0.6', round_even(s * 100, 0)::INT || '% satire, ' || round_even(w * 100, 0)::INT || '% news'] ELSE ['UNKNOWN', '0.0', 'no match'] END AS v FROM y)
+SELECT domain, v[1] AS category, v[2]::DOUBLE AS confidence, v[3] AS reasoning FROM z""")
 def source_credibility(t: Tables):
-    counts = credibility.history(_items(t))
-    named = t.spark.createDataFrame([("https://www.TheOnion.com/x", 9000.0), ("bbc.co.uk:80", None), ("dailysatire.com", None), ("cheap.xyz", 20.0), ("old.xyz", 2000.0), ("plain.org", None)], "domain string, age_days double")
-    rows = counts.select("domain", F.lit(None).cast("double").alias("age_days")).unionByName(named)
-    return credibility.classify(rows, counts).select("domain", "category")
+    """Sources by their history, and named domains; a label's white space and case don't matter, nor do items without a domain."""
+    said = t.spark.createDataFrame([("quiet.example.net", " Satire ")] * 12 + [("", "satire")] * 20 + [(None, "satire")], "domain string, label string")
+    counts = credibility.history(_items(t).unionByName(said))
+    named = [("https://www.TheOnion.com/x", 9000.0), ("bbc.co.uk:80", None), ("dailysatire.com", None), ("cheap.xyz", 20.0), ("old.xyz", 2000.0), ("plain.org", None), ("QUIET.example.net", None), ("", None), (" https:///x", 5.0), (None, None)]
+    rows = credibility.history(_items(t)).select("domain", F.lit(None).cast("double").alias("age_days")).unionByName(t.spark.createDataFrame(named, "domain string, age_days double"))
+    return credibility.classify(rows, counts).drop("age_days")
 
 
 @query("""SELECT * FROM (VALUES ('https://www.example.com/1', 'https://img.example.com/1.png', 'One & only', 'Body one', 'feed.example.com', TIMESTAMP '2026-05-04 10:00:00'),
@@ -93,9 +99,12 @@ def _hashes(t: Tables):
     return t.embeddings.select(F.col("vec_id").alias("id"), high.alias("h"))
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT vec_id AS id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i::INT) ELSE 0::HUGEINT END))::HUGEINT AS h FROM embeddings), f AS (SELECT h, min(id) AS id FROM h GROUP BY h),
+o AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM f), r AS (SELECT 0::BIGINT AS k, []::HUGEINT[] AS kept, NULL::BIGINT AS id
+UNION ALL SELECT o.k, CASE WHEN near THEN kept ELSE list_append(kept, o.h) END, CASE WHEN near THEN NULL ELSE o.id END FROM (SELECT o.k, o.h, o.id, r.kept, len(list_filter(r.kept, lambda x: bit_count(xor(x, o.h)) <= 16)) > 0 AS near FROM r JOIN o ON o.k = r.k + 1) o)
+SELECT id FROM r WHERE id IS NOT NULL""")
 def phash_dedup(t: Tables):
-    return review.phash_dedup(_hashes(t), 12)
+    return review.phash_dedup(_hashes(t), 16)
 
 
 @query("SELECT event_type AS domain, count(*) FILTER (value < 50) AS satire, count(*) FILTER (value >= 50) AS news, 0::BIGINT AS other FROM events GROUP BY 1")

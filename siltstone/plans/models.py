@@ -100,12 +100,15 @@ GATE = "g AS (SELECT o_orderkey, ['shadow', 'canary_5', 'canary_25', 'canary_50'
 
 
 @query(f"""WITH {GATE}, a AS (SELECT *, CASE WHEN state = 'rolled_back' THEN 'hold' WHEN drift > 0.75 OR o > 0.12 OR c > 0.15 THEN 'rollback' WHEN state = 'production' THEN 'hold'
-WHEN hours < CASE state WHEN 'shadow' THEN 6 WHEN 'canary_5' THEN 24 ELSE 12 END THEN 'hold' WHEN drift >= 0.5 THEN 'hold' ELSE 'promote' END AS action FROM g) SELECT o_orderkey, state, action FROM a""")
+WHEN hours < CASE state WHEN 'shadow' THEN 6 WHEN 'canary_5' THEN 24 ELSE 12 END THEN 'hold' WHEN drift >= 0.5 THEN 'hold' ELSE 'promote' END AS action,
+CASE WHEN state = 'rolled_back' THEN 'rolled back' WHEN drift > 0.75 THEN 'drift' WHEN o > 0.12 THEN 'overrides' WHEN c > 0.15 THEN 'calibration' WHEN state = 'production' THEN 'end of path'
+WHEN hours < CASE state WHEN 'shadow' THEN 6 WHEN 'canary_5' THEN 24 ELSE 12 END THEN 'dwell' WHEN drift >= 0.5 THEN 'drift warning' ELSE 'ready' END AS reason FROM g)
+SELECT o_orderkey, state, action, reason, CASE action WHEN 'rollback' THEN 'rolled_back' WHEN 'hold' THEN state ELSE CASE state WHEN 'shadow' THEN 'canary_5' WHEN 'canary_5' THEN 'canary_25' WHEN 'canary_25' THEN 'canary_50' ELSE 'production' END END AS next_state FROM a""")
 def rollout_gate(t: Tables):
     k = F.col("o_orderkey")
     states = F.array(*[F.lit(x) for x in ("shadow", "canary_5", "canary_25", "canary_50", "production", "rolled_back")])
     rows = t.orders.select("o_orderkey", F.element_at(states, (k % 6 + 1).cast("int")).alias("state"), (k % 30).cast("double").alias("hours_in_state"), (k % 97 / 97.0).alias("drift"), (k % 13 / 100.0).alias("override"), (k % 17 / 100.0).alias("calibration"))
-    return rollout.gate(rows).select("o_orderkey", "state", "action")
+    return rollout.gate(rows).select("o_orderkey", "state", "action", "reason", "next_state")
 
 
 @query("SELECT count(*) AS n, round(avg((event_id % 20 <> 0)::INT), 9) AS agreement, CASE WHEN avg((event_id % 20 = 0)::INT) FILTER (value >= 50) > 0.25 THEN 'block' WHEN avg((event_id % 20 <> 0)::INT) < 0.95 THEN 'hold' ELSE 'promote' END AS action FROM events")
@@ -114,11 +117,12 @@ def promotion_readiness(t: Tables):
     return rollout.readiness(t.events.select(agree.alias("agree"), (F.col("value") / 100).alias("drift"))).select("n", F.round("agreement", 9).alias("agreement"), "action")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'full_retrain' WHEN o_orderkey % 7 = 0 THEN 'phase3_finetune' WHEN (o_orderkey % 11) / 100.0 >= 0.08 THEN 'targeted_finetune' WHEN o_orderkey % 40 > 21 THEN 'scheduled_retrain' ELSE 'none' END AS action FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'full_retrain' WHEN o_orderkey % 7 = 0 THEN 'phase3_finetune' WHEN (o_orderkey % 11) / 100.0 >= 0.08 THEN 'targeted_finetune' WHEN o_orderkey % 40 > 21 THEN 'scheduled_retrain' ELSE 'none' END AS action,
+CASE WHEN o_orderkey % 50 = 0 THEN 'critical' WHEN o_orderkey % 7 = 0 THEN 'high' WHEN (o_orderkey % 11) / 100.0 >= 0.08 THEN 'medium' ELSE 'low' END AS priority FROM orders""")
 def retrain_decision(t: Tables):
     k = F.col("o_orderkey")
     rows = t.orders.select("o_orderkey", (k % 50 == 0).alias("architecture_changed"), F.when(k % 7 == 0, "critical").otherwise("healthy").alias("drift_status"), (k % 11 / 100.0).alias("override"), (k % 40).alias("age_days"))
-    return rollout.retrain(rows, 0.04).select("o_orderkey", "action")
+    return rollout.retrain(rows, 0.04).select("o_orderkey", "action", "priority")
 
 
 @query("SELECT n_nationkey AS model, max(CASE WHEN r_regionkey <= n_regionkey AND (r_regionkey * 20) / 100.0 < 0.75 THEN r_regionkey END) AS context FROM nation, region GROUP BY n_nationkey")
@@ -134,13 +138,25 @@ def state_dwell(t: Tables):
     return rollout.transitions(e).select("event_id", F.round("hours", 6).alias("hours"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 8 AS run, event_id AS epoch, value AS loss, (event_id % 10) / 50.0 AS grad, (event_id % 100) / 400.0 AS gv, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS k FROM events),
+r AS (SELECT run, epoch, k, 1 AS phase, loss::DOUBLE AS best, 0 AS since FROM e WHERE k = 1
+UNION ALL SELECT run, epoch, k, CASE WHEN up THEN phase + 1 ELSE phase END, CASE WHEN up THEN NULL WHEN better THEN loss ELSE best END, CASE WHEN up OR better THEN 0 ELSE since + 1 END FROM (
+SELECT e.run, e.epoch, e.k, r.phase, e.loss, r.best, r.since, r.best IS NULL OR e.loss < r.best - 1e-6 AS better,
+(r.phase = 1 AND CASE WHEN r.best IS NULL OR e.loss < r.best - 1e-6 THEN 0 ELSE r.since + 1 END >= 3 AND grad < 0.1) OR (r.phase = 2 AND gv > 0.15) AS up FROM r JOIN e ON e.run = r.run AND e.k = r.k + 1))
+SELECT run, epoch, phase::INT AS phase FROM r""")
 def phase_transitions(t: Tables):
     e = t.events.select((F.col("user_id") % 8).alias("run"), F.col("event_id").alias("epoch"), F.col("value").alias("loss"), (F.col("event_id") % 10 / 50.0).alias("grad"), (F.col("event_id") % 100 / 400.0).alias("gate_variance"))
     return rollout.phases(e)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT (user_id % 4)::VARCHAR AS track, event_id AS seq, event_id % 3 = 0 AS is_model, event_id::VARCHAR AS version, (event_id % 5)::VARCHAR AS gnn, [(event_id % 5)::VARCHAR, ((event_id + 1) % 5)::VARCHAR] AS allowed, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS k FROM events),
+n AS (SELECT *, [max(CASE WHEN NOT is_model AND gnn = '0' THEN seq END) OVER w, max(CASE WHEN NOT is_model AND gnn = '1' THEN seq END) OVER w, max(CASE WHEN NOT is_model AND gnn = '2' THEN seq END) OVER w, max(CASE WHEN NOT is_model AND gnn = '3' THEN seq END) OVER w, max(CASE WHEN NOT is_model AND gnn = '4' THEN seq END) OVER w] AS newest FROM e WINDOW w AS (PARTITION BY track ORDER BY seq)),
+r AS (SELECT track, 0::BIGINT AS k, 0::BIGINT AS seq, NULL::VARCHAR AS model, NULL::VARCHAR[] AS allowed, NULL::VARCHAR AS context, []::VARCHAR[] AS parked, []::VARCHAR[] AS pruned FROM (SELECT DISTINCT track FROM n)
+UNION ALL SELECT n.track, n.k, n.seq, CASE WHEN is_model THEN n.version ELSE r.model END, CASE WHEN is_model THEN n.allowed ELSE r.allowed END,
+CASE WHEN is_model THEN greatest(newest[n.allowed[1]::INT + 1], newest[n.allowed[2]::INT + 1])::VARCHAR WHEN r.model IS NOT NULL AND list_contains(r.allowed, n.gnn) THEN n.version ELSE r.context END,
+CASE WHEN is_model THEN list_filter(r.parked, lambda g: list_contains(n.allowed, g)) ELSE list_distinct(list_append(r.parked, n.gnn)) END,
+CASE WHEN is_model THEN list_filter(r.parked, lambda g: NOT list_contains(n.allowed, g)) ELSE [] END FROM r JOIN n ON n.track = r.track AND n.k = r.k + 1)
+SELECT track, seq, model, context, CASE WHEN model IS NULL THEN 'none' WHEN context IS NULL THEN 'parked' ELSE 'deployed' END AS status, coalesce(array_to_string(list_sort(pruned), ','), '') AS pruned FROM r WHERE k > 0""")
 def track_sync(t: Tables):
     k = F.col("event_id")
     e = t.events.select((F.col("user_id") % 4).cast("string").alias("track"), k.alias("seq"), F.when(k % 3 == 0, "model").otherwise("context").alias("kind"), k.cast("string").alias("version"), (k % 5).cast("string").alias("gnn"), F.array((k % 5).cast("string"), ((k + 1) % 5).cast("string")).alias("allowed"))

@@ -13,6 +13,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self._dir = spark, sf_dir
 
+    def size(self, name: str) -> int:
+        """Files of a table."""
+        return len(getattr(self, name).inputFiles())
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
 

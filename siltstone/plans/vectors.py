@@ -106,6 +106,9 @@ def scored_classes(t: Tables):
     return batching.predict(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x")), make, "x", 64, ["satire", "authentic", "news", "mixed", "other"]).select("vec_id", "class_index", "class_name")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 16 AS worker, event_id AS id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id % 16 ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+r AS (SELECT worker, id, k, 0 AS batch, ms AS first, 1 AS n FROM e WHERE k = 1
+UNION ALL SELECT e.worker, e.id, e.k, CASE WHEN n >= 32 OR ms - first > 50 THEN batch + 1 ELSE batch END, CASE WHEN n >= 32 OR ms - first > 50 THEN ms ELSE first END, CASE WHEN n >= 32 OR ms - first > 50 THEN 1 ELSE n + 1 END FROM r JOIN e ON e.worker = r.worker AND e.k = r.k + 1)
+SELECT worker, id, batch::INT AS batch FROM r""")
 def micro_batches(t: Tables):
     return batching.micro_batches(t.events.select((F.col("user_id") % 16).alias("worker"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ms")))

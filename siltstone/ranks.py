@@ -30,3 +30,22 @@ def salted_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     inside = Window.partitionBy(*keys, "_salt").orderBy(*order)
     ranked = salted.withColumn("_row", F.row_number().over(inside)).join(offsets, on, "left")
     return ranked.withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_salt", "_s", "_before", "_row", "_n", *[f"_k{i}" for i in range(len(keys))])
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str, parts: int | None = None) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows of smaller ``order``, which is unique. No task sees all rows.
+
+    Rows are dealt by quantiles of ``order`` (a list of ``parts`` numbers); the parts' sums, one row each, become offsets.
+    """
+    parts = parts or default_salts(df)
+    cuts = df.select(F.col(order).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
+    edges = sorted(set(cuts))
+    part = F.lit(0)
+    if edges:
+        part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(order).cast("double")))
+    dealt = df.withColumn("_part", part.cast("int"))
+    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import random
+import re
+import time
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlencode
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.scratch import ready_workers
 
+log = logging.getLogger(__name__)
+# Answers worth another try, tries after the first, and the default news feeds with their outlets and domains.
 RETRY_STATUS = (408, 425, 429, 500, 502, 503, 504)
+RETRIES = 3
+FEEDS = (
+    ("reuters_world", "https://feeds.reuters.com/reuters/worldNews", "Reuters", "reuters.com"),
+    ("bbc_news", "http://feeds.bbci.co.uk/news/rss.xml", "BBC", "bbc.co.uk"),
+    ("ap_top", "https://feeds.apnews.com/rss/apf-topnews", "Associated Press", "apnews.com"),
+    ("npr_news", "https://feeds.npr.org/1001/rss.xml", "NPR", "npr.org"),
+    ("guardian_world", "https://www.theguardian.com/world/rss", "The Guardian", "theguardian.com"),
+)
+PAGE = 250
 ENTRY = "link string, title string, summary string, content string, published string, thumbs array<string>, media array<string>, enclosures array<struct<href string, type string>>"
 
 
@@ -25,8 +40,124 @@ def backoff_seconds(attempt: int, rng: random.Random | None = None) -> float:
     return base + (rng or random.Random(0)).uniform(0, 0.25 * base)
 
 
-def page_url(base: str, query: str, newest: str, most: int = 250) -> str:
-    return f"{base}?{urlencode({'query': query, 'mode': 'ArtList', 'format': 'json', 'maxrecords': min(most, 250), 'sort': 'DateDesc', 'enddatetime': newest})}"
+def page_url(base: str, query: str, newest: str, most: int = PAGE, oldest: str | None = None) -> str:
+    params = {"query": query, "mode": "ArtList", "format": "json", "maxrecords": min(most, PAGE), "sort": "DateDesc", "enddatetime": newest}
+    return f"{base}?{urlencode(params | ({'startdatetime': oldest} if oldest else {}))}"
+
+
+def fetch(get: Callable[[str], tuple[int, str, bytes]], url: str, kind: str = "", sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None) -> bytes | None:
+    """The body of ``url``: up to three more tries after transport errors and answers of RETRY_STATUS, none after other errors.
+
+    ``get`` gives status, content type and body, or raises OSError. ``kind``: what the content type has to begin with, such as image/.
+    """
+    for attempt in range(RETRIES + 1):
+        try:
+            status, content_type, body = get(url)
+        except OSError:
+            status, content_type, body = RETRY_STATUS[0], "", b""
+        if status < 400:
+            return body if content_type.lower().startswith(kind) else None
+        if status not in RETRY_STATUS or attempt == RETRIES:
+            return None
+        sleep(backoff_seconds(attempt, rng))
+
+
+class Pace:
+    """Least gap between calls, from a rate per minute."""
+
+    def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.clock, self.sleep, self.last = 60.0 / per_minute, clock, sleep, None
+
+    def wait(self) -> None:
+        now = self.clock()
+        if self.last is not None and now < self.last + self.gap:
+            self.sleep(self.last + self.gap - now)
+            now = self.last + self.gap
+        self.last = now
+
+
+def fetch_bodies(urls: DataFrame, getter: Callable[[], Callable[[str], tuple[int, str, bytes]]], per_minute: float = 30, kind: str = "") -> DataFrame:
+    """(url, body) of rows (url), without those that fail. ``getter`` makes a function for ``fetch`` in each worker, which paces itself."""
+    ready_workers(urls.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, pace = getter(), Pace(per_minute)
+        for batch in batches:
+            rows = []
+            for url in batch.column(0).to_pylist():
+                pace.wait()
+                body = fetch(get, url, kind)
+                if body is not None:
+                    rows.append((url, body))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["url", "body"])
+
+    return urls.select("url").mapInArrow(work, "url string, body binary")
+
+
+def outlets(spark: SparkSession, extra: list[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """(feed, feed_url, outlet, domain) of the default feeds and others."""
+    return spark.createDataFrame([*FEEDS, *extra], "feed string, feed_url string, outlet string, domain string")
+
+
+def with_outlet(feeds: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds outlet and domain to rows (feed, feed_url, ...); unknown feeds have their key and their URL's host."""
+    j = feeds.join(F.broadcast(known.select("feed", F.col("outlet").alias("_outlet"), F.col("domain").alias("_domain"))), "feed", "left")
+    return j.select(*feeds.columns, F.coalesce("_outlet", "feed").alias("outlet"), F.coalesce("_domain", T.url_authority(F.col("feed_url"))).alias("domain"))
+
+
+def query_budget(most: int, taken: int, queries: int) -> int:
+    """What each of several queries may give after ``taken`` of ``most`` items came from feeds; one at least."""
+    return max(1, (most - taken) // queries) if queries else 0
+
+
+def pages_back(query: str, read: Callable[[str, int], str | None], most: int, now: str) -> list[str]:
+    """Bodies of article pages back in time. ``read`` gives the page of a query that ends at a time, or None.
+
+    It ends when enough items came, a page fails, isn't JSON, isn't full, or has nothing new, and when the oldest time doesn't move on.
+    """
+    if not query:
+        raise ValueError("a query is needed")
+    bodies, seen, taken, end = [], set(), 0, now
+    while taken < most:
+        size = min(most - taken, PAGE)
+        body = read(end, size)
+        try:
+            articles = (json.loads(body).get("articles") or []) if body is not None else []
+        except ValueError:
+            articles = []
+        new = []
+        for a in articles:
+            url = a.get("url") or ""
+            if (url or a.get("title")) and url not in seen:
+                seen |= {url} - {""}
+                new.append(a)
+        new = new[: most - taken]
+        if not new:
+            break
+        bodies.append(json.dumps({"articles": new}))
+        taken += len(new)
+        stamp = lambda a: s if len(s := re.sub(r"\D", "", a.get("seendate") or "")) == 14 else now
+        oldest = min(map(stamp, new))
+        if len(articles) < size or oldest >= end:
+            break
+        end = oldest
+    return bodies
+
+
+def collect_sources(parts: list[Callable[[], DataFrame]], most: int) -> DataFrame | None:
+    """Items of several sources, one after the other, ``most`` in all. A source that fails is left out; None if all do."""
+    out, left = None, most
+    for part in parts:
+        if left <= 0:
+            break
+        try:
+            rows = part().limit(left)
+            left -= rows.count()
+        except Exception as e:  # noqa: BLE001
+            log.warning("a source failed: %s", e)
+            continue
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def _entries(body: str, most: int) -> list[tuple]:
@@ -100,7 +231,8 @@ def article_items(bodies: DataFrame, now: Column) -> DataFrame:
 
 def cap_per_source(items: DataFrame, source: str, order: str, budget: int) -> DataFrame:
     w = Window.partitionBy(source).orderBy(order)
-    return items.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= budget).drop("_n")
+    rows = items.select(F.struct(*items.columns).alias("row"), F.row_number().over(w).alias("n"))
+    return rows.where(F.col("n") <= budget).select("row.*")
 
 
 def allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:

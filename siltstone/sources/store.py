@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,57 @@ def list_versions(spark: SparkSession, root: str, now: Column, days: int = 21) -
     return v.where(F.col("saved_at") >= now - F.make_interval(days=F.lit(days))).orderBy("saved_at")
 
 
+def publish_index(rows: DataFrame, root: str, version: str, pointer_seq: int) -> None:
+    """A new version of an index is written whole; then one more row in its log points to it, so readers change over at once."""
+    rows.write.mode("errorifexists").parquet(f"{root}/versions/{version}")
+    rows.sparkSession.createDataFrame([("index", version, pointer_seq)], "name string, version string, seq long").coalesce(1).write.mode("append").json(f"{root}/pointer")
+
+
+def open_index(spark: SparkSession, root: str, dim: int, embedding: str = "embedding") -> DataFrame:
+    """The version that the newest pointer names; vectors of another length than ``dim`` are an error."""
+    found = read_log(spark, f"{root}/pointer", "name string, version string, seq long", "name").first()
+    if found is None:
+        raise ValueError("no index was published")
+    rows = spark.read.parquet(f"{root}/versions/{found.version}")
+    if not rows.where(F.size(embedding) != dim).isEmpty():
+        raise ValueError(f"vectors of version {found.version} don't have {dim} numbers")
+    return rows
+
+
+def merge_segment(main: DataFrame, wal: DataFrame, root: str, version: str, pointer_seq: int) -> None:
+    """The write-ahead segment goes into a new version of the main index; the caller empties the segment once that is published."""
+    publish_index(main.unionByName(wal), root, version, pointer_seq)
+
+
+def save_report(rows: DataFrame, path: str) -> None:
+    """An evaluation report as one JSON file's folder."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def manifests(spark: SparkSession, n: int = 100) -> DataFrame:
+    """Synthetic training rows of three tiers: (image_path, text, original_text, label, difficulty, tier)."""
+    i = F.col("id").cast("string")
+    none = F.lit(None).cast("string")
+
+    def tier(name: str, folder: str, text: str, label, original=none, difficulty=none) -> DataFrame:
+        return spark.range(n).select(F.concat(F.lit(f"/mock/{folder}/"), i, F.lit(".jpg")).alias("image_path"), F.concat(F.lit(text), i).alias("text"), original.alias("original_text"), label.cast("int").alias("label"), difficulty.alias("difficulty"), F.lit(name).alias("tier"))
+
+    hard = tier("tier2_contradiction", "tier2", "topically coherent contradiction ", F.lit(1), F.concat(F.lit("original "), i), F.lit("hard"))
+    return tier("tier1_easy", "tier1", "easy authentic example ", F.col("id") % 2).unionByName(hard).unionByName(tier("tier3_hard_negatives", "tier3", "hard negative ", F.col("id") % 2))
+
+
+def settings(defaults: dict, prefix: str, environment: dict[str, str], overrides: str = "{}") -> dict:
+    """Defaults, then environment variables with the prefix, then a JSON object; values take the defaults' types, unknown names are errors."""
+    own = {k[len(prefix) :].lower(): v for k, v in environment.items() if k.upper().startswith(prefix.upper())}
+    out = dict(defaults)
+    for k, v in [*((k, v) for k, v in own.items() if k in defaults), *json.loads(overrides).items()]:
+        if k not in defaults:
+            raise KeyError(k)
+        kind = type(defaults[k])
+        out[k] = v.strip().lower() in ("1", "true", "yes", "on") if kind is bool and isinstance(v, str) else v if defaults[k] is None else kind(v)
+    return out
+
+
 def append_log(rows: DataFrame, root: str) -> None:
     """A change of a registry is one more row; the newest per key counts."""
     rows.write.mode("append").json(root)
@@ -52,11 +105,3 @@ def store_files(files: DataFrame, root: str) -> None:
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         rows = rows.join(spark.read.parquet(root).select("digest"), "digest", "left_anti")
     rows.write.mode("append").parquet(root)
-
-
-def valid_images(files: DataFrame, most: int = 10 << 20, least: int = 200) -> DataFrame:
-    """PNG files by their header, of at most ``most`` bytes and at least ``least`` pixels a side; adds width and height."""
-    png = F.hex(F.substring("content", 1, 8)) == "89504E470D0A1A0A"
-    side = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
-    rows = files.where(png & (F.octet_length("content") <= most)).withColumn("width", side(17)).withColumn("height", side(21))
-    return rows.where((F.col("width") >= least) & (F.col("height") >= least))

@@ -14,6 +14,11 @@ from siltstone.operators import credibility
 from siltstone.scratch import ready_workers, shared_dir
 
 
+def every(stream: DataFrame, minutes: int, keep, checkpoint: str, mode: str = "append"):
+    """Starts a query that gives a batch to ``keep`` every so many minutes, as an offline refresh does."""
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes").foreachBatch(keep).start()
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Runs over all that is available, with a checkpoint in the shared folder; the result of the last batches as a table."""
     spark = stream.sparkSession
@@ -50,14 +55,31 @@ def windows(items: DataFrame, key: str, size: str = "5 minutes", slide: str = "1
     return items.withWatermark("ts", delay).groupBy(F.window("ts", size, slide), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def buffer_stats(spark: SparkSession, most: int = 10_000):
-    """A foreachBatch function that keeps the newest ``most`` rows (seq, ...) in a temporary view ``buffer``."""
+class RollingBuffer:
+    """The newest ``most`` rows (seq, ...) of a stream, written to ``root`` per batch; pass ``keep`` to foreachBatch.
 
-    def keep(batch: DataFrame, n: int) -> None:
-        rows = batch if n == 0 else spark.table("buffer").unionByName(batch)
-        rows.orderBy(F.desc("seq")).limit(most).createOrReplaceTempView("buffer")
+    A restarted stream finds the buffer of the batch before, and a batch that runs again writes the same buffer. Older ones go.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, most: int = 10_000):
+        self.spark, self.root, self.most = spark, root, most
+
+    def _path(self, n: int):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch={n}")
+
+    def _exists(self, n: int) -> bool:
+        path = self._path(n)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def keep(self, batch: DataFrame, n: int) -> None:
+        rows = batch.unionByName(self.spark.read.schema(batch.schema).parquet(f"{self.root}/batch={n - 1}")) if n and self._exists(n - 1) else batch
+        rows.orderBy(F.desc("seq")).limit(self.most).write.mode("overwrite").parquet(f"{self.root}/batch={n}")
+        if n > 1 and self._exists(n - 2):
+            path = self._path(n - 2)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    return keep
+    def rows(self, n: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/batch={n}")
 
 
 def timers(items: DataFrame, minutes: int = 30) -> DataFrame:
