@@ -54,8 +54,9 @@ BANDS, ROWS = 16, 4
 SLICE = 1 << 21
 BROADCAST_ROWS = 2_000_000
 BLOCK_BYTES = 1 << 22
-#: Texts of a slice from which on a shingle is counted in the slice; bytes of text per bucket at most, on average.
-GROUP, BUCKET_BYTES = 4, 1 << 27
+#: Texts of a slice from which on a shingle is counted in the slice; buckets per shuffle partition, so that their hashes fill tasks evenly, and bytes of text
+#: per bucket at most, on average.
+GROUP, BUCKETS, BUCKET_BYTES = 4, 8, 1 << 27
 U = bs.U
 ENTRY = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("row", "<u2")])
 SHARED = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("row", "<u2"), ("df", "<u2"), ("tf", "<u4")])
@@ -403,7 +404,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     source = pick(docs, doc_id=doc_id, text=text).select(whole(F.col("doc_id")).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     n_docs, n_bytes = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     log_n = math.log(max(n_docs, 3))
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
+    buckets = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
     sent = source.mapInArrow(_send(buckets), "bucket long, slice long, blob binary, many binary")
     counted = sent.groupBy("bucket").applyInArrow(_count, "is_row boolean, slice long, blob binary, many binary")
     gathered = scratch.save(counted.groupBy("slice").applyInArrow(_gather(log_n, similarity), VECTOR))
@@ -428,13 +429,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sizes = texts.select("uid", F.octet_length("terms").alias("bytes"))
     mixed = named.join(sizes, "uid").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
     mixed = scratch.save(mixed.where("low <> high").select("band", "blocks", "n"))
-    block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    dealt = join_by_count(members, mixed, ["band"], "n", n_members).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "uid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    search = _search(log_n, similarity)
-    found = dealt.join(texts, "uid").groupBy("band", "i", "j").applyInArrow(search, "a long, b long")
-    edges = scratch.save(edges.unionByName(found).distinct())
-    names = components(edges, scratch)
+    if not mixed.isEmpty():
+        block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+        dealt = join_by_count(members, mixed, ["band"], "n", n_members).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("band", "uid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        search = _search(log_n, similarity)
+        found = dealt.join(texts, "uid").groupBy("band", "i", "j").applyInArrow(search, "a long, b long")
+        edges = scratch.save(edges.unionByName(found).distinct())
+        names = components(edges, scratch)
 
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
     copies = rows.where("d0 is not null").groupBy("d0", "d1").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
