@@ -37,11 +37,14 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def features(s: bs.Scan, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row and bucket of each word, each pair of words, and each run of characters inside a word (of more than the run, else it is the word)."""
+    """Row and bucket of each word, each pair of words, and each run of characters inside a word (of more than the run, else it is the word).
+
+    A pair is hashed by the difference of its words' hashes, so pairs of equal words share a bucket, which is learned like any other.
+    """
     shift = bs.U(64 - bits)
     yield s.doc, (s.hash >> shift).astype(np.int64)
-    first, h = s.windows(2)
-    yield s.doc[first], (h >> shift).astype(np.int64)
+    first, _ = s.windows(2)
+    yield s.doc[first], (bs.mix(s.hash[first + 1] - s.hash[first]) >> shift).astype(np.int64)
     at = np.flatnonzero(bs.FIRST_BYTE[s.data] & ~bs.SEPARATOR[s.data])  # characters of words; a word's are neighbours
     word = np.searchsorted(s.starts, at, side="right") - 1
     ends = np.append(at[1:], 0)

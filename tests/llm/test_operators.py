@@ -471,6 +471,7 @@ def test_scores_equal_brute_force(spark):
         assert len(got) == len(want)
         # equal features share a bucket, and buckets tell features apart
         for name, b in zip(want[: len(words) * 2], got[: len(words) * 2], strict=True):
+            name = ("equal",) if name[0] == "p" and name[1] == name[2] else name
             assert seen.setdefault(b, name) == name
         runs = Counter(n for n in want if n[0] == "c")
         assert sorted(Counter(got[len(want) - sum(runs.values()) :]).values()) == sorted(runs.values())
