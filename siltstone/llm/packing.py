@@ -46,8 +46,8 @@ from siltstone.scratch import Scratch
 
 CAPACITY, END_ID = 1024, 2
 #: Distinct parts that a Python worker remembers (about 200 bytes each), and the longest it does. Results don't depend on them.
-MEMO_WORDS, MEMO_BYTES = 400_000, 64
-SLICE_BYTES, JOIN_BYTES = 1 << 23, 1 << 15
+MEMO_WORDS, MEMO_BYTES = 250_000, 64
+SLICE_BYTES, JOIN_BYTES = 1 << 22, 1 << 15
 #: Rows of a range, on average; pieces that a gap takes in one round at most; see above.
 ROWS, SLOTS, FEW = 100_000, 64, 8
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
