@@ -15,7 +15,7 @@ minima over sum of maxima, is at least 0.8; classes are the components of the li
 4. The others get ICWS signatures (``BANDS`` bands of ``ROWS`` samples). Unshared shingles are left out of the sampling,
    which can only raise the chance that partners meet; similarity is computed with the whole weights.
 5. Members of a band are compared with its first member, linked, and joined to components. The members of a leader are dealt to
-   blocks of ``BLOCK_BYTES``, each of which gets the leader once. Bands that still hold two
+   blocks of ``MEMBER_BYTES``, each of which gets the leader once. Bands that still hold two
    components are searched whole: their texts are dealt to blocks of ``BLOCK_BYTES``, each pair of blocks computes all its
    similarities as one product of matrices and sends a spanning forest of the links it finds. So every candidate
    pair is either verified or already in one class, and no pairs are emitted but links that join texts.
@@ -54,6 +54,8 @@ BANDS, ROWS = 16, 4
 SLICE = 1 << 21
 BROADCAST_ROWS = 2_000_000
 BLOCK_BYTES = 1 << 22
+#: Bytes of a leader's members that are compared with one copy of it.
+MEMBER_BYTES = 1 << 18
 #: Texts of a slice from which on a shingle is counted in the slice; buckets per shuffle partition, so that their hashes fill tasks evenly, and bytes of text
 #: per bucket at most, on average.
 GROUP, BUCKETS, BUCKET_BYTES = 4, 8, 1 << 27
@@ -309,7 +311,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, log_n: float
     The members of a leader are dealt to blocks by their bytes, so a leader of many costs a copy per block, and blocks to cells.
     """
     pairs = scratch.save(pairs.join(texts.select(F.col("uid").alias("b"), F.octet_length("terms").alias("bytes")), "b"))
-    leaders = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    leaders = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("bytes") / MEMBER_BYTES).cast("int").alias("blocks"))
     leaders = scratch.save(leaders.select("a", "n", F.greatest("blocks", F.lit(1)).alias("blocks")))
     n, size = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     cells = 1 + size // BLOCK_BYTES + 2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

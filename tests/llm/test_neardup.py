@@ -103,6 +103,7 @@ def test_shared_lines_and_hot_groups(spark, monkeypatch):
 
     monkeypatch.setattr(neardup, "SLICE", 3000)
     monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(neardup, "MEMBER_BYTES", 2000)
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     line = " ".join(word() for _ in range(12))
