@@ -28,8 +28,8 @@ def alias_table(entities: DataFrame) -> DataFrame:
 def exact_lookup(mentions: DataFrame, aliases: DataFrame, stripped: bool = False) -> DataFrame:
     """Adds entity_id by the alias's last writer, null if there is none. mentions: (mention, ...); ``stripped`` ones have no white space at the ends."""
     clean = F.lower("mention") if stripped else T.clean_mention(F.col("mention"))
-    last = aliases.groupBy("alias").agg(F.max_by("entity_id", "seq").alias("entity_id"))
-    return mentions.withColumn("_clean", clean).join(last, F.col("_clean") == F.col("alias"), "left").drop("_clean", "alias")
+    last = aliases.groupBy(F.col("alias").alias("clean")).agg(F.max_by("entity_id", "seq").alias("entity_id"))
+    return mentions.select(F.struct(*mentions.columns).alias("row"), clean.alias("clean")).join(last, "clean", "left").select("row.*", "entity_id")
 
 
 def fuzzy_lookup(mentions: DataFrame, aliases: DataFrame, bucket: int = BUCKET, accept: float = ACCEPT) -> DataFrame:
