@@ -153,7 +153,9 @@ def test_sampling_estimates_similarity():
     assert (a == b).mean() == pytest.approx(np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum(), abs=0.05)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 2000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr("siltstone.operators.components.FEW", few)
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]
     parent = {}
