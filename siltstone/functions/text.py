@@ -98,6 +98,7 @@ def compact_time(x: Column, now: Column) -> Column:
 def image_url(thumbs: Column, media: Column, enclosures: Column, content: Column, summary: Column) -> Column:
     """First thumbnail, media content, fitting enclosure, <img> in the content, <img> in the summary."""
     fits = F.filter(enclosures, lambda e: (F.coalesce(e["href"], F.lit("")) != "") & ((F.coalesce(e["type"], F.lit("")) == "") | e["type"].startswith("image/")))
+    # fixed value: the address of an image tag
     img = r"""(?i)<img[^>]+src=["']([^"']+)["']"""
     return F.coalesce(F.get(thumbs, 0), F.get(media, 0), F.get(fits, 0)["href"], *[F.nullif(F.regexp_extract(x, img, 1), F.lit("")) for x in (content, summary)])
 

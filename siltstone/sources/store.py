@@ -59,16 +59,22 @@ def save_report(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
-def manifests(spark: SparkSession, n: int = 100) -> DataFrame:
-    """Synthetic training rows of three tiers: (image_path, text, original_text, label, difficulty, tier)."""
-    i = F.col("id").cast("string")
-    none = F.lit(None).cast("string")
+# Tiers of synthetic rows, their folders and texts; the second tier tells an original text and is hard.
+TIERS = (
+    ("tier1_easy", "/mock/tier1/", "easy authentic example "),
+    ("tier2_contradiction", "/mock/tier2/", "topically coherent contradiction "),
+    ("tier3_hard_negatives", "/mock/tier3/", "hard negative "),
+)
 
-    def tier(name: str, folder: str, text: str, label, original=none, difficulty=none) -> DataFrame:
-        return spark.range(n).select(F.concat(F.lit(f"/mock/{folder}/"), i, F.lit(".jpg")).alias("image_path"), F.concat(F.lit(text), i).alias("text"), original.alias("original_text"), label.cast("int").alias("label"), difficulty.alias("difficulty"), F.lit(name).alias("tier"))
 
-    hard = tier("tier2_contradiction", "tier2", "topically coherent contradiction ", F.lit(1), F.concat(F.lit("original "), i), F.lit("hard"))
-    return tier("tier1_easy", "tier1", "easy authentic example ", F.col("id") % 2).unionByName(hard).unionByName(tier("tier3_hard_negatives", "tier3", "hard negative ", F.col("id") % 2))
+def manifests(spark: SparkSession, n: int = 100) -> DataFrame:
+    """Synthetic training rows, ``n`` of each tier: (image_path, text, original_text, label, difficulty, tier)."""
+    tiers = spark.createDataFrame([(*t, t[0] == TIERS[1][0]) for t in TIERS], "tier string, folder string, words string, hard boolean")
+    i = F.col("id").cast("string")
+    return spark.range(n).join(F.broadcast(tiers), F.lit(True)).select(
+        F.concat("folder", i, F.lit(".jpg")).alias("image_path"), F.concat("words", i).alias("text"), F.when(F.col("hard"), F.concat(F.lit("original "), i)).alias("original_text"),
+        F.when(F.col("hard"), 1).otherwise(F.col("id") % 2).cast("int").alias("label"), F.when(F.col("hard"), "hard").alias("difficulty"), "tier",
+    )
 
 
 def settings(defaults: dict, prefix: str, environment: dict[str, str], overrides: str = "{}") -> dict:
