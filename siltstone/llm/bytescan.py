@@ -7,7 +7,8 @@ column's byte buffer can be scanned as one array: no Python object is made per t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +24,19 @@ SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 FIRST_BYTE = (np.arange(256) & 0xC0) != 0x80
 BYTE_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15 | 1)
-INVERSE = U(pow(int(BASE), -1, 2**64))
+#: Powers are kept for places below this, and multiplied with those of its multiples beyond.
+STRIDE = 1 << 16
 PLACES = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64) * U(2) + U(1)
 SLICE_BYTES = 1 << 20
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, U)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+LOW, LOW_INVERSE = (_power(pow(int(BASE), k, 2**64), STRIDE) for k in (1, -1))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,15 +48,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
-    if len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((BASE, INVERSE)):
-            p = np.full(n, base, U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+_kept: list = []
+
+
+def begin(keeps=None) -> None:
+    """A task begins; ``keeps`` is the lru_cache that its kind fills for the next one. What tasks of another kind filled goes."""
+    for cache in _kept:
+        if cache is not keeps:
+            cache.cache_clear()
+    _kept[:] = [keeps] if keeps else []
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; else a worker holds it through later stages."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if give:
+        give(0)
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` of a task, with as little memory as may be held when it begins and when it has ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(keeps)
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +122,8 @@ class Scan:
         return len(self.offs) - 1
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        _, inverse = powers(len(self.data) + 1)
-        return mix((self.sums[ends] - self.sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+        high = _power(pow(int(BASE), -STRIDE, 2**64), len(self.data) // STRIDE + 1)
+        return mix((self.sums[ends] - self.sums[starts]) * (LOW_INVERSE[starts % STRIDE] * high[starts // STRIDE]) + (ends - starts).astype(U))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word, and hash, of each run of ``size`` words inside one text."""
@@ -123,9 +154,12 @@ def scan(data: np.ndarray, offs: np.ndarray) -> Scan:
         after[offs[1:][full] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     doc = np.searchsorted(offs, starts, side="right") - 1
-    up, _ = powers(n + 1)
     sums = np.zeros(n + 1, U)
-    np.cumsum(BYTE_VALUE[data] * up[:n], out=sums[1:])
+    high = _power(pow(int(BASE), STRIDE, 2**64), n // STRIDE + 1)
+    for k in range(0, n, STRIDE):
+        part = BYTE_VALUE[data[k : k + STRIDE]]
+        np.multiply(part * LOW[: len(part)], high[k // STRIDE], out=sums[k + 1 : k + 1 + len(part)])
+    np.cumsum(sums[1:], out=sums[1:])
     out = Scan(data, offs, starts, ends, doc, np.zeros(0, U), sums, np.bincount(doc, minlength=len(offs) - 1).astype(np.int64))
     out.hash = out.span_hash(starts, ends)
     return out

@@ -17,7 +17,7 @@ minima over sum of maxima, is at least 0.8; classes are the components of the li
 5. Members of a band are compared with its first member, linked, and joined to components. The members of a leader are dealt to
    blocks of ``MEMBER_BYTES``, each of which gets the leader once. Bands that still hold two
    components are searched whole: their texts are dealt to blocks of ``BLOCK_BYTES``, each pair of blocks computes all its
-   similarities as one product of matrices and sends a spanning forest of the links it finds. So every candidate
+   similarities as products of matrices, some texts at a time, and sends a spanning forest of the links it finds. So every candidate
    pair is either verified or already in one class, and no pairs are emitted but links that join texts.
 
 6. Classes and their sizes are found per digest and given to the rows by joins whose hot keys are broadcast.
@@ -54,6 +54,8 @@ BANDS, ROWS = 16, 4
 SLICE = 1 << 21
 BROADCAST_ROWS = 2_000_000
 BLOCK_BYTES = 1 << 22
+#: Numbers of a matrix of similarities at a time. A pair of blocks may hold many short texts.
+CELLS = 1 << 20
 #: Bytes of a leader's members that are compared with one copy of it.
 MEMBER_BYTES = 1 << 18
 #: Texts of a slice from which on a shingle is counted in the slice; buckets per shuffle partition, so that their hashes fill tasks evenly, and bytes of text
@@ -333,11 +335,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, log_n: float
     return members.unionByName(copies).groupBy(F.pmod(F.xxhash64("a", "block"), F.lit(cells)).alias("cell")).applyInArrow(verify, "a long, b long")
 
 
-def similarities(weights_of: np.ndarray, parts: list[np.ndarray], log_n: float, columns: int = 4096) -> np.ndarray:
-    """Weighted Jaccard similarities of all pairs of texts, exactly.
+def strips(weights_of: np.ndarray, parts: list[np.ndarray], log_n: float, columns: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """Weighted Jaccard similarities of all pairs of texts, exactly: some texts' with all, and the first text's number, again and again.
 
     A term found t times becomes features for each count up to t that occurs here, weighted by what that count adds, so
-    a sum of minima is the sum over common features: a product of matrices.
+    a sum of minima is the sum over common features: a product of matrices, none of which has many more than ``CELLS`` numbers.
     """
     e = np.concatenate(parts)
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -357,15 +359,24 @@ def similarities(weights_of: np.ndarray, parts: list[np.ndarray], log_n: float,
     number = np.cumsum(shared) - 1
     keep = shared[column]
     row, column, w = row[keep], number[column[keep]], np.sqrt(w[keep])
-    least = np.zeros((len(parts), len(parts)))
     order = np.argsort(column, kind="stable")
     row, column, w = row[order], column[order], w[order]
-    for first in range(0, int(shared.sum()), columns):
-        i, j = np.searchsorted(column, [first, first + columns])
-        x = np.zeros((len(parts), columns))
-        x[row[i:j], column[i:j] - first] = w[i:j]
-        least += x @ x.T
-    return least / np.maximum(weights_of[:, None] + weights_of[None, :] - least, 1e-12)
+    rows = max(1, CELLS // len(parts))
+    columns = min(columns, max(rows, 64))
+    for top in range(0, len(parts), rows):
+        own = weights_of[top : top + rows]
+        least = np.zeros((len(own), len(parts)))
+        for first in range(0, int(shared.sum()), columns):
+            i, j = np.searchsorted(column, [first, first + columns])
+            x = np.zeros((len(parts), columns))
+            x[row[i:j], column[i:j] - first] = w[i:j]
+            least += x[top : top + rows] @ x.T
+        yield top, least / np.maximum(own[:, None] + weights_of[None, :] - least, 1e-12)
+
+
+def similarities(weights_of: np.ndarray, parts: list[np.ndarray], log_n: float, columns: int = 4096) -> np.ndarray:
+    """All strips at once."""
+    return np.concatenate([s for _, s in strips(weights_of, parts, log_n, columns)])
 
 
 def _search(log_n: float, similarity: float):
@@ -377,15 +388,12 @@ def _search(log_n: float, similarity: float):
             uid += batch.column("uid").to_pylist()
             weight += batch.column("weight").to_pylist()
             parts += [np.frombuffer(t.as_py(), TERM) for t in batch.column("terms")]
-        link = similarities(np.array(weight), parts, log_n) >= similarity - 1e-9
         label = np.arange(len(uid))
-        while True:
-            new = np.where(link, label[None, :], len(uid)).min(axis=1)
-            new = np.minimum(label, new)
-            new = np.minimum(new, new[new])
-            if (new == label).all():
-                break
-            label = new
+        for top, s in strips(np.array(weight), parts, log_n):
+            for k, link in enumerate(s >= similarity - 1e-9, top):
+                met = np.append(label[link], label[k])
+                if (met != met[0]).any():
+                    label[np.isin(label, met)] = met.min()
         at = np.flatnonzero(label != np.arange(len(uid)))
         ids = np.array(uid, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ids[label[at]]), pa.array(ids[at])], ["a", "b"])
@@ -407,7 +415,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     n_docs, n_bytes = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     log_n = math.log(max(n_docs, 3))
     buckets = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
-    sent = source.mapInArrow(_send(buckets), "bucket long, slice long, blob binary, many binary")
+    sent = source.mapInArrow(bs.trimmed(_send(buckets)), "bucket long, slice long, blob binary, many binary")
     counted = sent.groupBy("bucket").applyInArrow(_count, "is_row boolean, slice long, blob binary, many binary")
     gathered = scratch.save(counted.groupBy("slice").applyInArrow(_gather(log_n, similarity), VECTOR))
     del sent, counted
@@ -418,7 +426,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = scratch.save(gathered.where("terms is not null").join(stands.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "weight", "terms"))
     scratch.drop(gathered)
     _free_shuffles(spark)
-    members = scratch.save(texts.select("uid", "terms").mapInArrow(_bands(log_n), "band long, uid long").distinct())
+    members = scratch.save(texts.select("uid", "terms").mapInArrow(bs.trimmed(_bands(log_n)), "band long, uid long").distinct())
 
     lead = members.groupBy("band").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     lead = scratch.save(lead)

@@ -46,8 +46,8 @@ from siltstone.scratch import Scratch
 
 CAPACITY, END_ID = 1024, 2
 #: Distinct parts that a Python worker remembers (about 200 bytes each), and the longest it does. Results don't depend on them.
-MEMO_WORDS, MEMO_BYTES = 250_000, 64
-SLICE_BYTES, JOIN_BYTES = 1 << 22, 1 << 15
+MEMO_WORDS, MEMO_BYTES = 120_000, 64
+SLICE_BYTES, JOIN_BYTES = 1 << 20, 1 << 15
 #: Rows of a range, on average; pieces that a gap takes in one round at most; see above.
 ROWS, SLOTS, FEW = 100_000, 64, 8
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -260,7 +260,7 @@ def tokenized_pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return pick(docs, doc_id=doc_id, text=text).select(whole(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(encode, PIECES + (", ids array<int>" if with_ids else ""))
+    return pick(docs, doc_id=doc_id, text=text).select(whole(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(bs.trimmed(encode, memo), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def decreasing(counts: dict[int, int], capacity: int = CAPACITY, open_gaps: list[tuple[int, int]] = ()) -> dict[str, np.ndarray]:

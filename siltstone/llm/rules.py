@@ -86,7 +86,7 @@ def counts(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    rows = marked.mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    rows = marked.mapInArrow(bs.trimmed(count), schema).groupBy("chunk").applyInArrow(add, schema).collect()
     out = np.zeros((2, size), np.int64)
     for row in rows:
         at = row.chunk * (size // CHUNKS)
@@ -142,7 +142,7 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_
             v = verdicts(*bs.text_bytes(batch.column(1)), table.value, bits, threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v[k]) for k in (*METRICS, "llr", "base_failed", "kept")]], ["doc_id", *METRICS, "llr", "base_failed", "kept"])
 
-    return pick(docs, doc_id=doc_id, text=text).select(whole(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(score, SCORES)
+    return pick(docs, doc_id=doc_id, text=text).select(whole(F.col("doc_id")).alias("doc_id"), "text").mapInArrow(bs.trimmed(score), SCORES)
 
 
 def quality_filter(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
@@ -155,7 +155,7 @@ def quality_filter(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_
             yield batch.filter(pa.array(verdicts(*bs.text_bytes(batch.column(at)), table.value, bits, threshold)["kept"]))
 
     flat = numbered(docs)
-    return flat.mapInArrow(keep, flat.schema).toDF(*docs.columns)
+    return flat.mapInArrow(bs.trimmed(keep), flat.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
